@@ -15,8 +15,10 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(_OFFSET), F.try_to_timestamp(text))
 
 
-def epoch(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1e6)
+def micros(ts: Column | str) -> Column:
+    """Epoch microseconds; a zone-less timestamp counts as UTC (the session zone)."""
+    col = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(col.cast("timestamp"))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -79,7 +79,7 @@ def select_candidates(
 ) -> DataFrame:
     """Aggregator preference, version dedupe, revisions and the keyword rule; rejected rows keep keep=false."""
     staged = with_version(prefer_real_urls(entries))
-    unique = distinct_versions(staged, [-F.unix_micros("published"), F.col("url"), F.col("feed")])
+    unique = distinct_versions(staged, [-times.micros("published"), F.col("url"), F.col("feed")])
     fresh = revisions(unique, versions, known_ids)
     tagged = rule_match(fresh.withColumn("_text", F.concat_ws(" ", "title", "description")), rules, "_text").drop("_text")
     return apply_origin(tagged, tags=registrant_tags)

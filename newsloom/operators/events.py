@@ -303,7 +303,7 @@ def place_cards(
     base = base.withColumn("stamp", stamp).withColumn("own_stamp", own)
     base = base.withColumns(
         {
-            "t": F.unix_micros(times.instant(F.col("stamp"))),
+            "t": times.micros(times.instant(F.col("stamp"))),
             "head": headline_key(F.col("source_headline")),
             "url_key": ids.event_url(F.col("source.url")),
             "assessable": F.coalesce(F.col("assessment.assessable"), F.lit(False)),
@@ -365,7 +365,7 @@ def place_cards(
     out = out.withColumns(
         {
             "display_gps": display_tags(F.col("gps"), title, repairs or []),
-            "revision_t": F.unix_micros(times.instant(F.coalesce("observed_at", "stamp"))),
+            "revision_t": times.micros(times.instant(F.coalesce("observed_at", "stamp"))),
             "role": F.coalesce("role", F.lit("coverage")),
         }
     )

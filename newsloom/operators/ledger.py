@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import times
 from newsloom.operators.skew import first_by
 
 
@@ -86,7 +87,7 @@ def last_success(attempts: DataFrame, keys: list[str], at: str = "attempted_at",
 def source_freshness(attempts: DataFrame, now: Column, hours: int = 24, keys: list[str] | None = None) -> DataFrame:
     """Last outcome per source, stale when no success lies within the window (never succeeded = stale)."""
     state = last_success(attempts, keys or ["feed"])
-    age = F.unix_micros(now) - F.unix_micros("last_success_at")
+    age = times.micros(now) - times.micros("last_success_at")
     return state.withColumn("stale", F.coalesce(age > hours * 3_600_000_000, F.lit(True)))
 
 

@@ -154,19 +154,12 @@ def match_terms_by_join(docs: DataFrame, terms: DataFrame, key: str, text: str,
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)(\w+)"), 1)
     tokens = docs.select(F.col(key), words.alias("w")).filter(F.size("w") > 0)
-    grams = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(
-                        F.array().cast("array<int>")
-                    ),
-                    lambda i, n=n: F.array_join(F.slice("w", i, n), " "),
-                )
-                for n in range(1, max_words + 1)
-            ]
-        )
-    )
+
+    def grams_of(n):
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, max_words + 1)]))
     exploded = tokens.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     dictionary = terms.withColumn(
         "_gram", F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)(\w+)"), 1), " ")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions.money import lookup
-from newsloom.operators.skew import attach_per_key, rank_all, top_k
+from newsloom.operators.skew import BLOCK_ROWS, attach_per_key, rank_all, top_k
 
 
 # --- anchors, gates and bands ----------------------------------------------------------------
@@ -190,9 +190,6 @@ def tie_break(ranked: DataFrame, scope: list[str], rank_col: str = "base_rank")
     )
 
 
-BLOCK_ROWS = 4096
-
-
 def _run_heads(ranked: DataFrame, scope: list[str], rank_col: str) -> DataFrame:
     """Last non-European rank at or before each row, by blocks of consecutive ranks.
 

@@ -101,3 +101,31 @@ def rank_all(
     return out.withColumn(rank_col, F.col("_pos") - F.col("_start") + 1).drop(
         "_mid", "_shard", "_before", "_pos", "_start", "_scope_n"
     )
+
+
+BLOCK_ROWS = 4096
+
+
+def running_sum(rows: DataFrame, scope: Sequence[str], pos: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over earlier positions of a scope (0-based dense ``pos``), in two levels.
+
+    A window runs inside blocks of 4,096 positions; block totals, one row per block, carry the rest.
+    """
+    blocked = rows.withColumn("_block", F.floor(F.col(pos) / BLOCK_ROWS))
+    inside = Window.partitionBy(*scope, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    blocked = blocked.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    totals = blocked.groupBy(*scope, "_block").agg(F.sum(value).alias("_t"), F.count("*").alias("_block_n"))
+    prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(prior), F.lit(0))).drop("_t").withColumnRenamed("_before", "_carried")
+    joined = attach_per_key(blocked, totals, [*scope, "_block"], "_block_n")
+    return joined.withColumn(out, F.col("_carried") + F.col("_in")).drop("_block", "_in", "_carried", "_block_n")
+
+
+def previous_value(rows: DataFrame, scope: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """``value`` of the row before, within a scope of any size: ranks, then one join on (scope, rank).
+
+    Also keeps the 1-based rank as ``_rank``.
+    """
+    ranked = rank_all(rows, order, scope, "_rank")
+    before = ranked.select(*scope, (F.col("_rank") + 1).alias("_rank"), F.col(value).alias(out))
+    return ranked.join(before, [*scope, "_rank"], "left")
