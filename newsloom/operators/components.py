@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import cut, release
+from newsloom.session import cut_with, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,23 +43,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     no node's neighbourhood is ever gathered: only minima are aggregated and joined back, with hot nodes
     split.  Every round is a written table, so a lost executor costs one round at most.
     """
-    current = cut(
-        _tidy(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "components"
-    )
-    seen = None
+    marks = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    start = _tidy(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    current, seen = cut_with(start, "components", **marks)
+    if seen["n"] == 0:
+        return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(max_rounds):
-        following = cut(_tidy(_small_star(_tidy(_large_star(current)))), "components")
-        mark = following.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
+        following, mark = cut_with(_tidy(_small_star(_tidy(_large_star(current)))), "components", **marks)
         release(current)
-        current = following
-        if seen == (mark["n"], mark["h"]):
+        current, same = following, mark == seen
+        if same:
             break
-        seen = (mark["n"], mark["h"])
+        seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Settled edges form stars: every non-root points at its root.
     members = current.select(F.col("b").alias("node"), F.col("a").alias("root"))
     roots = current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    return members.unionByName(roots).distinct()
+    return members.unionByName(roots)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions.money import lookup
-from newsloom.operators.skew import BLOCK_ROWS, attach_per_key, rank_all, top_k
+from newsloom.operators.skew import attach_per_key, rank_all, running_max, top_k
+from newsloom.session import cut
 
 
 # --- anchors, gates and bands ----------------------------------------------------------------
@@ -147,24 +148,23 @@ def tie_break(ranked: DataFrame, scope: list[str], rank_col: str = "base_rank")
     In such a pass only a non-European, non-critical event ever moves right.  It carries past the
     Europeans directly behind it for as long as each has the same recommendation, is not critical and
     lies within five points, and stops at the first that does not; those it passes move up one place.
-    So each run "one other event, then Europeans" is independent: the head is the last non-European
-    rank at or before a row, and a European is passed when no earlier member of its run blocks.
+    So each run "one other event, then Europeans" is independent: its head is the last non-European at
+    or before a row, and a European is passed when no row of its run so far blocks.
 
-    Everything a run needs is the head's row and the first blocking rank, both plain aggregates on the
-    run key, so a scope with a third of all rows needs no window over it.
+    Both are running maxima over ranks, computed in blocks, so a scope with a third of all rows is
+    spread over many tasks.  Only the heads need a look ahead: the number of rows they passed.
     """
     europe = F.coalesce(F.col("primary_region") == "Europe", F.lit(False))
-    heads = _run_heads(ranked.withColumn("_eu", europe), scope, rank_col)
-    run = [*scope, "_head"]
-    crit = is_critical(F.col("disposition_reason_codes"))
-    score = F.coalesce("total_score", F.lit(0))
-    rows = heads.withColumn("_crit", crit).withColumn("_score", score)
-    lead = rows.filter(F.col(rank_col) == F.col("_head")).select(
-        *run, F.struct(F.col("_crit").alias("c"), F.col("_score").alias("s"), F.col("recommendation").alias("r")).alias("_lead")
+    rows = ranked.withColumns(
+        {
+            "_eu": europe,
+            "_crit": is_critical(F.col("disposition_reason_codes")),
+            "_score": F.coalesce("total_score", F.lit(0)),
+        }
     )
-    size = rows.groupBy(*run).agg(F.count("*").alias("_run_n"))
-    lead = lead.join(size, run)
-    rows = attach_per_key(rows, lead, run, "_run_n")
+    # The rank leads the struct, so the largest struct is the latest head, with all a follower needs.
+    head = F.struct(F.col(rank_col).alias("k"), F.col("_crit").alias("c"), F.col("_score").alias("s"), F.col("recommendation").alias("r"))
+    rows = running_max(rows, scope, rank_col, F.when(~F.col("_eu"), head), "_lead")
     blocks = (
         F.col("_lead.c")
         | F.col("_crit")
@@ -172,40 +172,19 @@ def tie_break(ranked: DataFrame, scope: list[str], rank_col: str = "base_rank")
         | ((F.col("_lead.s") - F.col("_score")) > fv.TIE_BREAK_POINTS)
     )
     follower = F.col("_eu") & F.col("_lead").isNotNull()
-    stop = rows.groupBy(*run).agg(
-        F.min(F.when(follower & blocks, F.col(rank_col))).alias("_stop"),
-        F.max(F.col(rank_col)).alias("_last"),
-        F.count("*").alias("_stop_n"),
-    )
-    rows = attach_per_key(rows, stop, run, "_stop_n")
-    limit = F.coalesce(F.col("_stop"), F.col("_last") + 1)
-    passed = follower & (F.col(rank_col) < limit)
-    tie_rank = (
-        F.when(passed, F.col(rank_col) - 1)
-        .when(~F.col("_eu") & (F.col(rank_col) == F.col("_head")), limit - 1)
-        .otherwise(F.col(rank_col))
-    )
-    return rows.withColumn("tie_rank", tie_rank).drop(
-        "_eu", "_head", "_crit", "_score", "_lead", "_run_n", "_stop", "_last", "_stop_n"
+    rows = running_max(rows, scope, rank_col, F.when(follower & blocks, F.col(rank_col)), "_blocker")
+    passed = follower & ~F.coalesce(F.col("_blocker") > F.col("_lead.k"), F.lit(False))
+    rows = rows.withColumn("_passed", passed)
+    moved = (
+        rows.filter("_passed")
+        .groupBy(*scope, F.col("_lead.k").alias(rank_col))
+        .agg(F.count("*").alias("_moved"))
     )
-
-
-def _run_heads(ranked: DataFrame, scope: list[str], rank_col: str) -> DataFrame:
-    """Last non-European rank at or before each row, by blocks of consecutive ranks.
-
-    Inside a block of 4,096 ranks a window finds it; a block that starts inside a run takes the last
-    non-European rank of the blocks before it, from a table with one row per block.
-    """
-    block = F.floor((F.col(rank_col) - 1) / BLOCK_ROWS)
-    other = F.when(~F.col("_eu"), F.col(rank_col))
-    rows = ranked.withColumn("_block", block)
-    inside = Window.partitionBy(*scope, "_block").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_in", F.max(other).over(inside))
-    tails = rows.groupBy(*scope, "_block").agg(F.max(other).alias("_tail"), F.count("*").alias("_block_n"))
-    prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("_carry", F.max("_tail").over(prior)).drop("_tail")
-    rows = attach_per_key(rows, carried, [*scope, "_block"], "_block_n")
-    return rows.withColumn("_head", F.coalesce("_in", "_carry", F.lit(0))).drop("_in", "_carry", "_block", "_block_n")
+    # One row per (scope, rank) on both sides: no key repeats.
+    same = [*scope, rank_col]
+    rows = rows.join(moved, same, "left")
+    tie_rank = F.when(F.col("_passed"), F.col(rank_col) - 1).otherwise(F.col(rank_col) + F.coalesce("_moved", F.lit(0)))
+    return rows.select(*ranked.columns, tie_rank.alias("tie_rank"))
 
 
 def rank_decisions(decisions: DataFrame, scope: list[str] | None = None, history: DataFrame | None = None) -> DataFrame:
@@ -215,7 +194,7 @@ def rank_decisions(decisions: DataFrame, scope: list[str] | None = None, history
     """
     scope = scope or []
     ranked = rank_all(decisions, base_order(), scope, "base_rank")
-    swapped = tie_break(ranked, scope)
+    swapped = cut(tie_break(ranked, scope), "ranked")
     if history is None:
         return swapped.withColumn("position", F.col("tie_rank")).drop("tie_rank")
     # One row: safe to attach to every row by broadcast.
@@ -265,7 +244,7 @@ def editions_by_day(
     scope = scope or []
     dated = decisions.filter(F.col(day).isNotNull())
     keys = [*scope, day]
-    ranked = tie_break(rank_all(dated, base_order(), keys, "base_rank"), keys)
+    ranked = cut(tie_break(rank_all(dated, base_order(), keys, "base_rank"), keys), "ranked-days")
     plain = select_edition(ranked, keys, "base_rank").withColumnRenamed("slot", "_slot_plain")
     both = select_edition(plain, keys, "tie_rank").withColumnRenamed("slot", "_slot_tie")
     eu = F.coalesce(F.col("primary_region") == "Europe", F.lit(False))

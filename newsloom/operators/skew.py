@@ -8,9 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from newsloom.session import cut
+from newsloom.session import cut, cut_with
 
 HOT_ROWS = 1_000_000
+# Plans that read less than this many bytes in all cannot hold a harmful key: they take the plain join
+# and the plain window, with the same result and fewer jobs.
+SMALL_INPUT = 32 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables a plan reads, from the planner's own statistics; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
+
+def is_small(df: DataFrame) -> bool:
+    return input_bytes(df) <= SMALL_INPUT
 
 
 def attach_per_key(
@@ -23,34 +39,42 @@ def attach_per_key(
 ) -> DataFrame:
     """Join one-row-per-key data back to its rows without sending a hot key to one task.
 
-    ``per_key`` carries the number of rows behind each key in ``count_col``.  Keys above ``hot_rows``
-    are at most ``total rows / hot_rows`` many, so that part is broadcast safely; their rows leave the
-    shuffle join through a salted key that matches nothing, and the remaining keys are joined normally.
+    ``per_key`` carries the number of rows behind each key in ``count_col``; it is written once, and its
+    largest count is read off while writing.  Without a key above ``hot_rows``, or over a small input, this
+    is a plain join.
+    Otherwise the hot keys, at most ``total rows / hot_rows`` many, are broadcast, and their rows leave
+    the shuffle join through a salted key that matches nothing.
     """
     payload = [c for c in per_key.columns if c not in keys]
-    hot = per_key.filter(F.col(count_col) > hot_rows).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys],
-        F.struct(*[F.col(c) for c in payload]).alias("_hot"),
+    top = 0
+    if not is_small(rows):
+        per_key, seen = cut_with(per_key, "per-key", top=F.max(count_col))
+        top = seen["top"] or 0
+    side = per_key.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col(count_col).alias("_k_n"),
+        F.struct(*[F.col(c) for c in payload]).alias("_found"),
     )
-    cold = per_key.filter(F.col(count_col) <= hot_rows).select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.lit(0).alias("_c_salt"),
-        F.struct(*[F.col(c) for c in payload]).alias("_cold"),
-    )
-    on_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    tagged = rows.join(F.broadcast(hot), on_hot, "left")
-    # Salts 1.. never equal the cold side's 0: hot rows spread out and find no partner there.
-    spread = F.when(
-        F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns[:8]]), F.lit(4096))
-    ).otherwise(F.lit(0))
-    tagged = tagged.withColumn("_salt", spread.cast("int"))
-    on_cold = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_salt") == F.col("_c_salt")]
-    joined = tagged.join(cold, on_cold, "left")
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    out = joined.withColumn("_found", found)
-    if how == "inner":
-        out = out.filter(F.col("_found").isNotNull())
-    return out.select(*[F.col(c) for c in rows.columns], *[F.col(f"_found.{c}").alias(c) for c in payload])
+    on_keys = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    mode = "inner" if how == "inner" else "left"
+    if top <= hot_rows:
+        joined = rows.join(side, on_keys, mode)
+    else:
+        hot = side.filter(F.col("_k_n") > hot_rows).select(
+            *[F.col(f"_k_{k}").alias(f"_h_{k}") for k in keys], F.col("_found").alias("_hot")
+        )
+        cold = side.filter(F.col("_k_n") <= hot_rows).withColumn("_k_salt", F.lit(0))
+        on_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+        tagged = rows.join(F.broadcast(hot), on_hot, "left")
+        # Salts 1.. never equal the cold side's 0: hot rows spread out and find no partner there.
+        spread = F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns[:8]]), F.lit(4096))
+        tagged = tagged.withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0).cast("int"))
+        joined = tagged.join(cold, [*on_keys, F.col("_salt") == F.col("_k_salt")], "left").withColumn(
+            "_found", F.coalesce("_hot", "_found")
+        )
+        if mode == "inner":
+            joined = joined.filter(F.col("_found").isNotNull())
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.col(f"_found.{c}").alias(c) for c in payload])
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], payload: Sequence[str]) -> DataFrame:
@@ -80,6 +104,9 @@ def rank_all(
     partition (and the first position of each scope) then turns local positions into ranks.
     """
     keys = [F.col(c).asc() for c in scope] + list(order)
+    if partitions is None and is_small(rows):
+        w = Window.partitionBy(*scope).orderBy(*order)
+        return cut(rows.withColumn(rank_col, F.row_number().over(w).cast("long")), "rank")
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -114,11 +141,23 @@ def running_sum(rows: DataFrame, scope: Sequence[str], pos: str, value: str, out
     blocked = rows.withColumn("_block", F.floor(F.col(pos) / BLOCK_ROWS))
     inside = Window.partitionBy(*scope, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     blocked = blocked.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    totals = blocked.groupBy(*scope, "_block").agg(F.sum(value).alias("_t"), F.count("*").alias("_block_n"))
+    totals = blocked.groupBy(*scope, "_block").agg(F.sum(value).alias("_t"))
     prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(prior), F.lit(0))).drop("_t").withColumnRenamed("_before", "_carried")
-    joined = attach_per_key(blocked, totals, [*scope, "_block"], "_block_n")
-    return joined.withColumn(out, F.col("_carried") + F.col("_in")).drop("_block", "_in", "_carried", "_block_n")
+    # A block key never holds more than BLOCK_ROWS rows, so this join cannot skew.
+    joined = blocked.join(totals, [*scope, "_block"])
+    return joined.withColumn(out, F.col("_carried") + F.col("_in")).drop("_block", "_in", "_carried")
+
+
+def running_max(rows: DataFrame, scope: Sequence[str], pos: str, value: Column, out: str) -> DataFrame:
+    """Largest ``value`` at or before each 1-based dense position of a scope, nulls skipped, in two levels."""
+    blocked = rows.withColumn("_block", F.floor((F.col(pos) - 1) / BLOCK_ROWS)).withColumn("_v", value)
+    inside = Window.partitionBy(*scope, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    tails = blocked.groupBy(*scope, "_block").agg(F.max("_v").alias("_tail"))
+    prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.withColumn("_carry", F.max("_tail").over(prior)).drop("_tail")
+    joined = blocked.withColumn("_in", F.max("_v").over(inside)).join(carried, [*scope, "_block"])
+    return joined.withColumn(out, F.coalesce("_in", "_carry")).drop("_block", "_v", "_in", "_carry")
 
 
 def previous_value(rows: DataFrame, scope: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -60,6 +60,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def cut_with(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, plus aggregate values of the frame gathered while it is written (no second job)."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), label)
+    return out, seen.get
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a frame that :func:`cut` returned, once no later step reads it."""
     path = getattr(df, "_newsloom_path", None)
