@@ -183,3 +183,59 @@ def feed_stats(attempts: DataFrame, parsed: DataFrame, kept: DataFrame) -> DataF
 def retained(cards: DataFrame, today: Column, window_days: int = fv.RETENTION_DAYS) -> DataFrame:
     """Days inside the rolling window; an older day is dropped and an older insert refused."""
     return cards.filter(F.col("date") >= F.date_sub(today, window_days))
+
+
+def make_cards(items: DataFrame, repairs: list[dict] | None = None, review_status: str = "unreviewed", origin: str = "auto_fetch", observed_at: Column | None = None) -> DataFrame:
+    """Items joined with their parsed brief to cards in the published shape.
+
+    ``items`` carries the item columns of :func:`to_item` plus the brief: headline, summary, gps, sectors,
+    region, relevance_reason, assessment_raw (JSON) and event_identity_raw (struct).  A revision gets its
+    own id and belongs to the day it was observed.
+    """
+    from newsloom.functions.identity import display_tags, validate_identity
+    from newsloom.functions.priority import validate_assessment
+
+    have = set(items.columns)
+    opt = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    title, body = text.clean_text(F.col("title")), text.clean_text(F.col("text"))
+    feed_text = F.coalesce(opt("feed_text"), F.col("text"))
+    own_id = ids.card_id(F.col("url"))
+    print_ = ids.source_fingerprint(F.col("title"), feed_text)
+    verified = F.coalesce(opt("verified_primary_source", "boolean"), F.lit(False))
+    staged = items.withColumns(
+        {
+            "_fp": print_,
+            "_own": own_id,
+            "_assess": validate_assessment(opt("assessment_raw"), title, body, verified),
+            "_title": title,
+            "_rev": opt("revision_of"),
+        }
+    )
+    seen = observed_at if observed_at is not None else F.lit(None).cast("string")
+    revised = F.col("_rev").isNotNull()
+    return staged.select(
+        F.when(revised, ids.revision_id(F.col("_own"), F.col("_fp"))).otherwise(F.col("_own")).alias("id"),
+        F.when(revised & seen.isNotNull(), times.hkt_date(times.instant(seen))).otherwise(F.col("date")).alias("date"),
+        "published_at",
+        "headline",
+        F.struct(
+            text.strip_absence(F.col("summary.en"), "en").alias("en"), text.strip_absence(F.col("summary.zh"), "zh").alias("zh")
+        ).alias("summary"),
+        display_tags(F.col("gps"), F.col("_title"), repairs or []).alias("gps"),
+        "sectors",
+        "region",
+        F.struct(F.col("publisher"), F.col("url")).alias("source"),
+        F.lit(review_status).alias("review_status"),
+        F.lit(origin).alias("origin"),
+        F.col("_title").alias("source_headline"),
+        F.col("_fp").alias("source_fingerprint"),
+        F.col("_assess").alias("assessment"),
+        "relevance_reason",
+        (validate_identity(F.col("event_identity_raw"), F.col("title"), F.col("text")) if "event_identity_raw" in have
+         else F.lit(None)).alias("event_identity"),
+        opt("origin").alias("source_origin"),
+        opt("published_basis").alias("published_basis"),
+        opt("source_published_at").alias("source_published_at"),
+        seen.alias("observed_at"),
+        F.col("_rev").alias("supersedes_card_id"),
+    )
