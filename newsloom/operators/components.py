@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.skew import attach_per_key
 from newsloom.session import cut_with, release
 
 
@@ -27,11 +28,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _link(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    from newsloom.operators.skew import attach_per_key
-
     return attach_per_key(pairs, low, ["u"], "n").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    return _tidy(_small_star(_tidy(_large_star(edges))))
+
+
 def _tidy(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("a") != F.col("b")).distinct()
 
@@ -49,7 +52,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if seen["n"] == 0:
         return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(max_rounds):
-        following, mark = cut_with(_tidy(_small_star(_tidy(_large_star(current)))), "components", **marks)
+        following, mark = cut_with(_contract(current), "components", **marks)
         release(current)
         current, same = following, mark == seen
         if same:

@@ -18,7 +18,7 @@ SMALL_INPUT = 32 * 1024 * 1024
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of all tables a plan reads, from the planner's own statistics; no job runs."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
         total += int(str(leaves.next().stats().sizeInBytes()))
