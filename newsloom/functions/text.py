@@ -19,6 +19,14 @@ _TAG = re.compile(r"<[^>]+>")
 _DASHES = str.maketrans(fv.TYPOGRAPHY)
 
 
+# Everything Unicode calls white space, as one trim set.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
+
+
 def squeeze(text: Column) -> Column:
     """Collapse every run of Unicode whitespace to one space and trim."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -51,8 +59,26 @@ def term_pattern(terms: Iterable[str]) -> str:
     return r"(?U)(?<!\w)(?:" + "|".join(parts) + r")(?!\w)"
 
 
-def has_term(text: Column, terms: Iterable[str]) -> Column:
-    return text.rlike(term_pattern(terms))
+def fold(text: Column) -> Column:
+    """Lower case under which every case-insensitive match of an ASCII term is a plain substring."""
+    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+
+
+def _maybe(text: Column, folded: Column, terms: Iterable[str], test: Column) -> Column:
+    """Run a regular expression only on texts that contain one of its terms at all."""
+    seen = F.lit(False)
+    for term in sorted(set(terms), key=len):
+        if not term.isascii():
+            return test
+        seen = seen | (text.contains(term) if _case_sensitive(term) else folded.contains(term.lower()))
+    return seen & test
+
+
+def has_term(text: Column, terms: Iterable[str], folded: Column | None = None) -> Column:
+    """Whole-word hit; with ``folded`` (see :func:`fold`) most texts never reach the regular expression."""
+    terms = list(terms)
+    test = text.rlike(term_pattern(terms))
+    return test if folded is None else _maybe(text, folded, terms, test)
 
 
 def phrase_pattern(phrases: Iterable[str]) -> str:
@@ -61,8 +87,12 @@ def phrase_pattern(phrases: Iterable[str]) -> str:
     return r"(?iuU)(?<!\w)(?:" + "|".join(_quoted(p) for p in ordered) + r")(?!\w)"
 
 
-def has_phrase(text: Column, phrases: Iterable[str]) -> Column:
-    return text.rlike(phrase_pattern(phrases))
+def has_phrase(text: Column, phrases: Iterable[str], folded: Column | None = None) -> Column:
+    phrases = list(phrases)
+    test = text.rlike(phrase_pattern(phrases))
+    if folded is None or not all(p.isascii() for p in phrases):
+        return test
+    return contains_any(folded, sorted({p.lower() for p in phrases}, key=len)) & test
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
@@ -130,7 +160,7 @@ def normalize_party(name: Column) -> Column:
 
 def normalize_body(text: Column) -> Column:
     """Drop blanks before line ends and runs of empty lines; the digest follows words, not wrapping."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    body = strip(F.coalesce(text, F.lit("")))
     return F.regexp_replace(F.regexp_replace(body, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
 
 
@@ -179,8 +209,8 @@ def strip_absence(text: Column, lang: str = "en") -> Column:
         F.split(whole, "(?U)" + splitter),
         lambda s: (F.length(squeeze(s)) > 0) & ~s.rlike("(?U)" + pattern),
     )
-    trimmed = F.regexp_replace(F.array_join(kept, glue), r"(?U)^\s+|\s+$", "")
-    fallback = F.regexp_replace(whole, r"(?U)^\s+|\s+$", "")
+    trimmed = strip(F.array_join(kept, glue))
+    fallback = strip(whole)
     return F.when(F.length(trimmed) > 0, trimmed).otherwise(fallback)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import has_term, term_pattern
+from newsloom.functions.text import fold, has_term, term_pattern
 
 MAX_TERMS = 20_000
 
@@ -84,50 +84,52 @@ class RuleSet:
         )
 
 
-def _tag_hits(text: Column, tags: dict[str, Tag], context: Column) -> Column:
+def _tag_hits(text: Column, tags: dict[str, Tag], context: Column, folded: Column) -> Column:
     if not tags:
         return F.array().cast("array<string>")
     hits = []
     for key, tag in tags.items():
-        hit = has_term(text, tag.terms)
+        hit = has_term(text, tag.terms, folded)
         hits.append(F.when(hit & context if tag.needs_context else hit, F.lit(key)))
     return F.filter(F.array(*hits), lambda k: k.isNotNull())
 
 
-def _first_excluded(text: Column, terms: tuple[str, ...]) -> Column:
+def _first_excluded(text: Column, terms: tuple[str, ...], folded: Column) -> Column:
     first = F.lit(None).cast("string")
     for term in reversed(terms):
-        first = F.when(has_term(text, [term]), F.lit(term)).otherwise(first)
+        first = F.when(has_term(text, [term], folded), F.lit(term)).otherwise(first)
     return first
 
 
-def rule_columns(text: Column, rules: RuleSet) -> dict[str, Column]:
-    """gps, sectors, reason and keep for one text; tags are reported even for a rejected entry."""
-    context = has_term(text, rules.context) if rules.context else F.lit(False)
-    gps = _tag_hits(text, rules.gps, context)
-    sectors = _tag_hits(text, rules.sectors, context)
-    return {"gps": gps, "sectors": sectors}
-
-
 def rule_match(df: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """Add gps, sectors, reason, keep.
 
     Tests run in the rule's order: excluded, then no subject, then no event.  One alternation per tag
     keeps every row inside a single JVM pass; the per-term exclusion ladder runs only on excluded rows.
     """
-    t = F.col(text)
-    tagged = df
-    for name, col in rule_columns(t, rules).items():
-        tagged = tagged.withColumn(name, col)
-    excluded = has_term(t, rules.exclude) if rules.exclude else F.lit(False)
-    event = has_term(t, rules.event) if rules.event else F.lit(False)
+    t, low = F.col(text), F.col("_fold")
+    tagged = df.withColumn("_fold", fold(t))
+    context = has_term(t, rules.context, low) if rules.context else F.lit(False)
+    tagged = tagged.withColumn("_context", context)
+    tagged = tagged.withColumns(
+        {
+            "gps": _tag_hits(t, rules.gps, F.col("_context"), low),
+            "sectors": _tag_hits(t, rules.sectors, F.col("_context"), low),
+        }
+    )
+    excluded = has_term(t, rules.exclude, low) if rules.exclude else F.lit(False)
+    event = has_term(t, rules.event, low) if rules.event else F.lit(False)
     reason = (
-        F.when(excluded, F.concat(F.lit("excluded: "), _first_excluded(t, rules.exclude)))
+        F.when(excluded, F.concat(F.lit("excluded: "), _first_excluded(t, rules.exclude, low)))
         .when((F.size("gps") == 0) & (F.size("sectors") == 0), "no tracked manager or sub-sector")
         .when(~event, "no material event")
         .otherwise("matched")
     )
-    return tagged.withColumn("reason", reason).withColumn("keep", F.col("reason") == "matched")
+    return (
+        tagged.withColumn("reason", reason)
+        .withColumn("keep", F.col("reason") == "matched")
+        .drop("_fold", "_context")
+    )
 
 
 def apply_origin(df: DataFrame, origin: str = "origin", tags: str | None = None) -> DataFrame:

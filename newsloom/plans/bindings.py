@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.rules import RuleSet, Tag
 from newsloom.plans.registry import table
+from newsloom.session import spread
 
 RULES = RuleSet(
     gps={
@@ -28,7 +29,7 @@ TITLE = "split_part(text, '.', 1)"
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """documents as articles: title before the first full stop, 60 publication days."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id",
         F.substring_index("text", ".", 1).alias("title"),
         F.col("text"),

@@ -9,6 +9,7 @@ from newsloom.functions.text import normalize_title
 from newsloom.operators import entries, ledger
 from newsloom.plans.bindings import documents
 from newsloom.plans.registry import query, table
+from newsloom.session import spread
 from newsloom.sources import feeds, pages
 
 
@@ -138,13 +139,13 @@ def failed_payloads(spark, sf):
     r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""",
 )
 def page_titles(spark, sf):
-    return pages.extract_pages(table(spark, sf, "pages")).select("page_id", "title")
+    return pages.extract_pages(spread(table(spark, sf, "pages"))).select("page_id", "title")
 
 
 @query("page_extract")
 def page_extract(spark, sf):
     """Excerpt, level and date of every page (tag soup has no SQL form)."""
-    return pages.extract_pages(table(spark, sf, "pages")).select("page_id", "title", "excerpt", "level", "source_published_at")
+    return pages.extract_pages(spread(table(spark, sf, "pages"))).select("page_id", "title", "excerpt", "level", "source_published_at")
 
 
 @query(
