@@ -358,7 +358,7 @@ def place_cards(
     out = attach_per_key(placed, per_bucket, ["bucket"], "_n").drop("auto", "_n")
     if overlay.groups is not None:
         pins = overlay.groups.select(F.col("event_id").alias("reviewed_event"), F.col("representative_card_id").alias("id"), F.lit(True).alias("pinned"))
-        out = out.join(F.broadcast(pins), ["reviewed_event", "id"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+        out = out.join(pins, ["reviewed_event", "id"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
     else:
         out = out.withColumn("pinned", F.lit(False))
     title = F.coalesce("source_headline", "headline_en")

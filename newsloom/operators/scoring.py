@@ -330,8 +330,8 @@ def explain(decisions: DataFrame, reason_texts: DataFrame) -> DataFrame:
     general = reason_texts.filter(F.col("recommendation").isNull()).select("code", F.col("explanation").alias("_general"))
     lines = (
         base.select("event_id", "recommendation", F.posexplode("disposition_reason_codes").alias("pos", "code"))
-        .join(F.broadcast(special), ["code", "recommendation"], "left")
-        .join(F.broadcast(general), "code", "left")
+        .join(special, ["code", "recommendation"], "left")
+        .join(general, "code", "left")
         .groupBy("event_id")
         .agg(
             F.transform(

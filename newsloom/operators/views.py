@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import bilingual
@@ -69,7 +69,7 @@ def _entry_columns() -> list[str]:
     return ["date", "entry_id", "representative_card_id", "articles", "gps", "sectors", "rank", "time", "grouped"]
 
 
-def singletons(cards: DataFrame, fits: Column | bool = True) -> DataFrame:
+def singletons(cards: DataFrame) -> DataFrame:
     """A card without an event is its own entry."""
     return cards.select(
         "date",
@@ -151,6 +151,6 @@ def tag_labels(entries: DataFrame, labels: DataFrame, key: str, tags: str, lang:
     text = bilingual(F.struct("en", "zh"), lang)
     return (
         entries.select(key, F.explode(tags).alias("tag"))
-        .join(F.broadcast(labels), "tag", "left")
+        .join(labels, "tag", "left")
         .select(key, "tag", F.when(text != "", text).otherwise(F.col("tag")).alias("label"))
     )

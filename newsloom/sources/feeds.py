@@ -63,7 +63,7 @@ def parse_filings(payloads: DataFrame, registrants: DataFrame) -> DataFrame:
     """Atom filing feeds joined to their registrant (feed, name, gps): one entry per filing."""
     rows = _items(payloads, F.from_xml(F.col("payload"), ATOM, _PERMISSIVE), "_doc.entry")
     kept = [c for c in payloads.columns if c != "payload"]
-    rows = rows.join(F.broadcast(registrants), "feed")
+    rows = rows.join(registrants, "feed")
     items = F.coalesce(F.col("_i.content.items-desc"), F.lit(""))
     form, link = F.col("_i.category._term"), F.col("_i.link._href")
     title = F.concat("name", F.lit(" files "), form, F.when(items != "", F.concat(F.lit(": "), items)).otherwise(""))

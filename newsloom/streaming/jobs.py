@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from newsloom import fixed_values as fv
 from newsloom.functions import times
 from newsloom.operators import entries
+from newsloom.operators.skew import previous_value
 from newsloom.operators.stories import WINDOW, headline_stories, reviewed_anchor_hits
 from newsloom.session import cut
 from newsloom.streaming.state import BatchTable, run_to_end
@@ -123,14 +124,17 @@ SEEN = T.StructType(
 
 
 def revision_job(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
-    """(article_id, digest, seq, outcome): new, changed or duplicate against the last digest of each id."""
+    """(article_id, digest, seq, outcome): new, changed or duplicate against the digest before it, within the
+    batch or in earlier ones."""
     table = BatchTable(spark, f"{folder}/seen", SEEN)
 
     def on_batch(batch: DataFrame, number: int) -> None:
         last = table.before(number).groupBy("article_id").agg(F.max_by("digest", "seq").alias("_last"))
-        newest = batch.groupBy("article_id").agg(F.max_by(F.struct("digest", "seq"), "seq").alias("n")).select("article_id", "n.*")
-        j = newest.join(last, "article_id", "left")
-        outcome = F.when(F.col("_last").isNull(), "new").when(F.col("_last") == F.col("digest"), "duplicate").otherwise("changed")
+        lagged = previous_value(batch.select("article_id", "digest", "seq"), ["article_id"], [F.col("seq").asc()], "digest", "_prev")
+        j = lagged.join(last, "article_id", "left").withColumn(
+            "_base", F.when(F.col("_rank") == 1, F.col("_last")).otherwise(F.col("_prev"))
+        )
+        outcome = F.when(F.col("_base").isNull(), "new").when(F.col("_base") == F.col("digest"), "duplicate").otherwise("changed")
         table.write(j.withColumn("outcome", outcome), number)
 
     run_to_end(stream, folder, on_batch)
