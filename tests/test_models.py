@@ -165,7 +165,7 @@ def _decisions(rnd, n):
     out = []
     for i in range(n):
         score = rnd.choice([None, 60, 62, 66, 70, 74, 75, 80, 84])
-        rec = scoring.fv.BANDS and ("shortlist" if (score or 0) >= 70 else "reserve_manual_only")
+        rec = "shortlist" if (score or 0) >= 70 else "reserve_manual_only"
         crit = rnd.random() < 0.15
         out.append({"event_id": f"e{i:02d}", "total_score": score, "recommendation": rnd.choice([rec, rec, "review_required"]), "primary_region": rnd.choice(["Europe", "US"]), "crit": crit})
     return out
