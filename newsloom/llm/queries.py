@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import packing, quality
+from newsloom.llm import licences, line_dedup, packing, quality, token_counts
 from newsloom.llm.common import prepare, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules", quality.ORACLE_SQL)
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op3_licence_scan")
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup", line_dedup.ORACLE_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.by_document(table(spark, sf_dir, "documents"))
