@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import licences, line_dedup, packing, quality, token_counts
+from newsloom.llm import licences, line_dedup, packing, quality, token_counts, warc
 from newsloom.llm.common import prepare, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup", line_dedup.ORACLE_SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.by_document(table(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(x, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1) FOR k IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS verified
+FROM s
+"""
+
+
+@query("op8_warc", _WARC_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
