@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +36,33 @@ def arrow_rows(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
             yield from fn(batch)
 
     return run
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that shuffle files of finished steps go at once."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def pack_arrays(**columns: np.ndarray) -> bytes:
+    """Named arrays of any lengths as one Arrow message: many small values travel as one row."""
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_arrays(blobs: pa.ChunkedArray, shift: dict[str, str] | None = None) -> dict[str, np.ndarray]:
+    """The arrays of all messages laid end to end; ``shift`` raises index arrays by the length of others so far."""
+    parts: dict[str, list[np.ndarray]] = {}
+    seen: dict[str, int] = {}
+    for blob in blobs:
+        with pa.ipc.open_stream(blob.as_buffer()) as stream:
+            batch = stream.read_next_batch()
+        own = {n: batch.column(i).flatten().to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        for index, of in (shift or {}).items():
+            own[index] = own[index].astype(np.int64) + seen.get(of, 0)
+        for n, v in own.items():
+            parts.setdefault(n, []).append(v)
+            seen[n] = seen.get(n, 0) + len(v)
+    return {n: np.concatenate(v) for n, v in parts.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import licences, line_dedup, minhash, packing, quality, token_counts, warc
+from newsloom.llm import licences, line_dedup, minhash, packing, quality, suffix_dedup, token_counts, warc
 from newsloom.llm.common import prepare, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ FROM documents d JOIN (SELECT a, min(m) AS m FROM r GROUP BY a) x ON x.a = d.doc
 @query("op1_minhash_dedup", _MINHASH_SQL)
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
