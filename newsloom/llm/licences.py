@@ -136,3 +136,32 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         raise ValueError("threshold must lie in (0, 1]")
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return pairs.mapInArrow(arrow_rows(_scanner(dict(templates), threshold)), _SCHEMA)
+
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CLASS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+
+ORACLE_SQL = rf"""
+WITH t AS (SELECT name, regexp_extract_all({_LOW.format('body')}, '[^{_CLASS}]+') AS w FROM (VALUES {', '.join(f"('{n}', '{b}')" for n, b in TEMPLATES.items())}) v(name, body)),
+tb AS (SELECT DISTINCT name, w[i] AS a, w[i + 1] AS b FROM (SELECT name, w, unnest(range(1, len(w))) AS i FROM t)),
+tn AS (SELECT name, count(*) AS n FROM tb GROUP BY name),
+l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+l1 AS (SELECT *, {_LOW.format('line')} AS low, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l0),
+l2 AS (SELECT doc_id, k, regexp_extract_all(low, '[^{_CLASS}]+') AS w, pos + length(regexp_extract(low, '^[{_CLASS}]*')) AS s, pos + length(low) - length(regexp_extract(low, '[{_CLASS}]*$')) AS e FROM l1),
+l3 AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) > 1 THEN 1 ELSE 0 END AS brk FROM l2 WHERE len(w) > 0),
+l AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM l3),
+words AS (SELECT doc_id, k, para, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM l),
+pairs AS (SELECT doc_id, k, para, word AS a, lead(word) OVER o AS b, lead(k) OVER o AS k2, lead(para) OVER o AS p2 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k, j)),
+ub AS (SELECT DISTINCT doc_id, 0 AS level, k AS unit, a, b FROM pairs WHERE k2 = k UNION ALL SELECT DISTINCT doc_id, 1, para, a, b FROM pairs WHERE p2 = para
+  UNION ALL SELECT DISTINCT doc_id, 2, 0, a, b FROM pairs WHERE b IS NOT NULL),
+us AS (SELECT doc_id, 0 AS level, k AS unit, s, e FROM l UNION ALL SELECT doc_id, 1, para, min(s), max(e) FROM l GROUP BY doc_id, para UNION ALL SELECT doc_id, 2, 0, min(s), max(e) FROM l GROUP BY doc_id),
+un AS (SELECT doc_id, level, unit, count(*) AS n FROM ub GROUP BY ALL),
+m AS (SELECT doc_id, level, unit, name, count(*) AS shared FROM ub JOIN tb USING (a, b) GROUP BY ALL),
+d AS (SELECT m.*, s, e, CAST(2 * shared AS DOUBLE) / (un.n + tn.n) AS dice FROM m JOIN un USING (doc_id, level, unit) JOIN us USING (doc_id, level, unit) JOIN tn USING (name)),
+f AS (SELECT doc_id, s, e, name, dice, min(level) AS level FROM d WHERE dice >= {THRESHOLD} GROUP BY ALL),
+g AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM f GROUP BY doc_id),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name, level, s, e) = 1)
+SELECT x.doc_id, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, coalesce(licences, '') AS licences, b.name AS best_licence, b.dice AS best_dice,
+  CASE b.level WHEN 0 THEN 'line' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'text' END AS best_unit, CAST(b.s AS BIGINT) AS best_start, CAST(b.e AS BIGINT) AS best_end
+FROM documents x LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
