@@ -54,6 +54,8 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("n"), F.sha1(body).alias("sha1"))
     first = rows.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("sha1", "first")
+    # Written first: while few payloads repeat, the planner sees a small table and leaves the payloads where they are.
+    first = cut(first, "payloads")
     joined = rows.join(first, "sha1", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return joined.select("page_id", "url", "payload", "n", refers.alias("refers_to"))
@@ -210,7 +212,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     owned = marked.select("file", "block", "at", "start", F.max(F.when(F.col("on_chain"), F.col("start"))).over(order).alias("owner"))
     broken = records.filter("NOT whole AND kind = 'response'").select(F.col("file"), F.col("start").alias("owner"), "header", "jump", "page_id", "payload_bytes", "digest", "kind", "refers_to")
-    wanted = owned.join(broken, ["file", "owner"])
+    wanted = cut(owned.join(broken, ["file", "owner"]), "warc")  # written, so that a small one needs no shuffle of bodies
     parts = _pieces(spark, path).mapInArrow(_bodies, "file string, block long, at long, value binary").join(wanted, ["file", "block", "at"])
     fields = ["file", "owner", "header", "jump", "page_id", "payload_bytes", "digest", "kind", "refers_to"]
     # The parts of one record: as many bytes as its own payload.
