@@ -44,7 +44,7 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
 
 def attribute(spans_end: np.ndarray, edges: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(section of every token, whether it crosses) for token ends and section ends, both ascending bytes."""
-    starts = np.concatenate(([0], spans_end[:-1]))
+    starts = np.concatenate(([0], spans_end))[:-1]
     first = np.searchsorted(edges, starts, "right")
     last = np.searchsorted(edges, spans_end, "left")
     owner = {"start": first, "end": last}.get(rule)
