@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from urllib.parse import quote_plus, unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,31 +46,39 @@ def uuid5_url(url: Column) -> Column:
     )
 
 
-def _rebuild(url, dropped, lower, fragment, prefix=None):
-    if url is None:
-        return None
-    parts = urlsplit(url)
-    query = [
-        (k, v)
-        for k, v in parse_qsl(parts.query, keep_blank_values=True)
-        if k.lower() not in dropped and not (prefix and k.lower().startswith(prefix))
-    ]
-    scheme, host = (parts.scheme.lower(), parts.netloc.lower()) if lower else (parts.scheme, parts.netloc)
-    return urlunsplit((scheme, host, parts.path, urlencode(query), parts.fragment if fragment else ""))
+_URL = re.compile(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(#.+)?#?")
+_BREAKS = str.maketrans("", "", "\t\r\n")
+
+
+def _canonical(urls: pd.Series, unwanted: re.Pattern, host_case: bool, with_fragment: bool) -> pd.Series:
+    """Split every URL by one pattern, keep the wanted parameters in one spelling of their escapes, join again."""
+
+    def one(url: str) -> str:
+        scheme, host, path, query, fragment = _URL.fullmatch(url.translate(_BREAKS).strip(" ")).groups("")
+        halves = [piece.partition("=")[::2] for piece in query.split("&") if piece]
+        plain = [(unquote_plus(k), unquote_plus(v)) for k, v in halves]
+        kept = "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in plain if not unwanted.fullmatch(k.lower()))
+        host = host.lower() if host_case else host
+        return "".join([f"{scheme.lower()}:" if scheme else "", host, path, f"?{kept}" if kept else "", fragment if with_fragment else ""])
+
+    return urls.map(one, na_action="ignore")
+
+
+def _any_of(names: Iterable[str], prefix: str | None = None) -> re.Pattern:
+    choices = [re.escape(n) for n in sorted(names)] + ([re.escape(prefix) + ".*"] if prefix else [])
+    return re.compile("|".join(choices), re.S)
 
 
 @F.pandas_udf(T.StringType())
 def event_url(urls: pd.Series) -> pd.Series:
     """Event identity: campaign parameters and fragment dropped, scheme and host lower-cased."""
-    drop = set(fv.EVENT_URL_DROPPED)
-    return urls.map(lambda u: _rebuild(u, drop, True, False, fv.EVENT_URL_DROPPED_PREFIX), na_action="ignore")
+    return _canonical(urls, _any_of(fv.EVENT_URL_DROPPED, fv.EVENT_URL_DROPPED_PREFIX), True, False)
 
 
 @F.pandas_udf(T.StringType())
 def evidence_url(urls: pd.Series) -> pd.Series:
     """Evidence identity: listed tracking parameters dropped, fragment and case kept."""
-    drop = set(fv.TRACKING_PARAMETERS)
-    return urls.map(lambda u: _rebuild(u, drop, False, True), na_action="ignore")
+    return _canonical(urls, _any_of(fv.TRACKING_PARAMETERS), False, True)
 
 
 def event_url_native(url: Column) -> Column:

@@ -86,26 +86,16 @@ def cluster_members(profile: DataFrame, edges: DataFrame | None = None) -> DataF
     ).select("article_id", F.coalesce("root", "article_id").alias("root"))
 
 
-ID_BLOCK = 50_000
+def cluster_ids(members: DataFrame) -> DataFrame:
+    """root, cluster_id, size.  The id is a digest of the set of article ids, as plain sums for a cluster of any size.
 
-
-def cluster_ids(members: DataFrame, block: int = ID_BLOCK) -> DataFrame:
-    """root, cluster_id, size.  The id is a digest of the sorted article ids.
-
-    Members are digested in hash blocks of about ``block`` ids, so a cluster of any size never sits in
-    one row; a cluster of at most one block (every ordinary one) is digested directly.
+    The SHA-256 of every id is summed in four 64-bit lanes; lanes and count are digested.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    sized = attach_per_key(members, sizes, ["root"], "size")
-    blocks = F.ceil(F.col("size") / block)
-    placed = sized.withColumn("_blk", F.pmod(F.xxhash64("article_id"), blocks))
-    joined = F.array_join(F.array_sort(F.collect_list("article_id")), "|")
-    parts = placed.groupBy("root", "_blk").agg(joined.alias("part"), F.first("size").alias("size"))
-    # A single block keeps the plain list; several blocks are joined by their digests.
-    shown = F.when(F.col("size") > block, F.sha2("part", 256)).otherwise(F.col("part"))
-    whole = F.array_join(F.array_sort(F.collect_list(shown)), "|")
-    return parts.groupBy("root").agg(whole.alias("ids"), F.first("size").alias("size")).select(
-        "root", F.concat(F.lit("pe-"), F.substring(F.sha2("ids", 256), 1, 12)).alias("cluster_id"), "size"
+    digest = F.sha2("article_id", 256)
+    lanes = [F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    text = F.concat_ws("|", *[c.cast("string") for c in (F.count(F.lit(1)), *lanes)])
+    return members.groupBy("root").agg(
+        F.concat(F.lit("pe-"), F.substring(F.sha2(text, 256), 1, 12)).alias("cluster_id"), F.count(F.lit(1)).alias("size")
     )
 
 

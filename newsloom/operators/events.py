@@ -12,11 +12,10 @@ from newsloom.functions import ids, times
 from newsloom.functions.identity import display_tags, headline_key
 from newsloom.functions.priority import classify, rank_columns, validate_assessment
 from newsloom.functions.text import normalize_title, strip_absence
-from newsloom.operators.components import connected_components
 from newsloom.operators.matching import greedy_pairs
 from newsloom.operators.skew import attach_per_key, rank_all
 from newsloom.operators.stories import headline_stories
-from newsloom.session import cut
+from newsloom.session import cut, release
 
 
 @dataclass
@@ -160,8 +159,9 @@ def same_revision(card: str, parent: str) -> Column:
 def merge_revisions(keyed: DataFrame) -> DataFrame:
     """id, bucket after linked revisions joined their parent's bucket.
 
-    ``keyed``: id, bucket, supersedes_card_id, observed_at, url_key, event_identity, source_headline.  The
-    surviving key is the bucket no revision leads out of; between several, the last link decides.
+    ``keyed``: id, bucket, supersedes_card_id, observed_at, url_key, event_identity, source_headline.  Links act in time
+    order: each moves everything gathered under the child's bucket to the key its parent's bucket has by then; a link
+    inside one key does nothing.
     """
     child = keyed.filter(F.col("supersedes_card_id").isNotNull() & (F.col("supersedes_card_id") != F.col("id")))
     links = (
@@ -178,20 +178,34 @@ def merge_revisions(keyed: DataFrame) -> DataFrame:
     links = cut(links, "revisions")
     if links.isEmpty():
         return keyed.select("id", "bucket")
-    roots = connected_components(links.select("a", "b"))
-    sources = links.select(F.col("a").alias("b")).distinct()
-    when = F.struct("at", "cid")
-    scored = links.join(sources.withColumn("_out", F.lit(1)), "b", "left").join(
-        roots.withColumnRenamed("node", "b"), "b"
-    )
-    final = scored.groupBy("root").agg(
-        F.max_by("b", F.struct(F.col("_out").isNull(), when)).alias("final")
-    )
-    renamed = roots.join(final, "root").select(F.col("node").alias("bucket"), "final")
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("_n")).join(renamed, "bucket")
-    return attach_per_key(keyed.select("id", "bucket"), sizes, ["bucket"], "_n").select(
-        "id", F.coalesce("final", "bucket").alias("bucket")
-    )
+    renamed = _follow_links(links)
+    return attach_per_key(keyed.select("id", "bucket"), renamed, ["bucket"]).select("id", F.coalesce("final", "bucket").alias("bucket"))
+
+
+def _follow_links(links: DataFrame) -> DataFrame:
+    """bucket, final: the key each linked bucket ends under when links (a -> b at time ``at``, ``cid``) act in order.
+
+    A link that is the earliest of both its keys can act at once, whatever happens elsewhere; every round takes all such
+    links.  The earliest link of all is one of them, so rounds end; chains in time order take a round per link.
+    """
+    label = cut(links.select(F.explode(F.array("a", "b")).alias("bucket")).distinct().withColumn("final", F.col("bucket")), "labels")
+    rest = links
+    while True:
+        when = F.struct("at", "cid", "a", "b")
+        ends = rest.select(F.explode(F.array("a", "b")).alias("_k"), when.alias("_w"))
+        first = ends.groupBy("_k").agg(F.min("_w").alias("_w"))
+        # The earliest link of two keys at once appears twice among the firsts.
+        both = first.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2")
+        moves = cut(both.select(F.col("_w.a").alias("_from"), F.col("_w.b").alias("_to")), "moves")
+        if moves.isEmpty():
+            return label
+        moved = cut(label.join(moves, F.col("final") == F.col("_from"), "left").select("bucket", F.coalesce("_to", "final").alias("final")), "labels")
+        release(label)
+        label = moved
+        at_a = moves.select(F.col("_from").alias("_fa"), F.col("_to").alias("_ta"))
+        at_b = moves.select(F.col("_from").alias("_fb"), F.col("_to").alias("_tb"))
+        left = rest.join(at_a, F.col("a") == F.col("_fa"), "left").join(at_b, F.col("b") == F.col("_fb"), "left")
+        rest = cut(left.select(F.coalesce("_ta", "a").alias("a"), F.coalesce("_tb", "b").alias("b"), "at", "cid").filter("a <> b"), "revisions")
 
 
 def carry_event_ids(buckets: DataFrame, members: DataFrame, prior: DataFrame, reserved: DataFrame) -> DataFrame:
@@ -209,9 +223,12 @@ def carry_event_ids(buckets: DataFrame, members: DataFrame, prior: DataFrame, re
         .select("bucket", "prior_id", "first_t", "first_id", F.col("m.t").alias("t"), F.col("m.id").alias("id"))
     )
     got = greedy_pairs(wish, "bucket", "prior_id", ["first_t", "first_id", "t", "id", "prior_id"])
-    return buckets.join(got.select("bucket", "prior_id"), "bucket", "left").select(
-        "bucket", F.coalesce("prior_id", F.concat(F.lit("evt-"), "first_id")).alias("event_id")
-    )
+    own = F.concat(F.lit("evt-"), F.col("first_id"))
+    taken = got.select(F.col("prior_id").alias("_taken")).unionByName(reserved.select(F.col("event_id").alias("_taken"))).distinct()
+    named = buckets.join(got.select("bucket", "prior_id"), "bucket", "left").join(taken, own == F.col("_taken"), "left")
+    # An id of its own that another bucket carries over gets a mark of its bucket, so no two buckets share an id.
+    fresh = F.when(F.col("_taken").isNull(), own).otherwise(F.concat(own, F.lit("-"), F.substring(F.sha2("bucket", 256), 1, 6)))
+    return named.select("bucket", F.coalesce("prior_id", fresh).alias("event_id"))
 
 
 # --- representatives -------------------------------------------------------------------------
@@ -486,7 +503,7 @@ def archive_fingerprint(cards: DataFrame, digest: str = "card_sha256") -> DataFr
     Each 256-bit row digest is summed in four 64-bit lanes; the lanes and the row count are digested.
     """
     lanes = [
-        F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+        F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string")
         for i in range(4)
     ]
     rows = F.count(digest)

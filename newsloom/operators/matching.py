@@ -10,7 +10,7 @@ from newsloom.operators.skew import attach_per_key
 from newsloom.session import cut, release
 
 
-def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str], max_rounds: int = 1000) -> DataFrame:
+def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
     """Greedy one-to-one matching in the total order ``order`` (ascending), by rounds.
 
     A pair that is first for both of its sides would be taken by the sequential greedy whatever happens
@@ -21,7 +21,7 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str], max_
     key = F.struct(*order)
     rest = cut(pairs, "pairs")
     taken = []
-    for _ in range(max_rounds):
+    while True:  # the first remaining pair of all is mutual, so every round takes one at least
         best_l = rest.groupBy(left).agg(F.min(key).alias("_bl"), F.count("*").alias("_nl"))
         best_r = rest.groupBy(right).agg(F.min(key).alias("_br"), F.count("*").alias("_nr"))
         seen = attach_per_key(attach_per_key(rest, best_l, [left], "_nl"), best_r, [right], "_nr")
@@ -36,8 +36,6 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str], max_
         )
         release(rest)
         rest = following
-    else:
-        raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
     out = taken[0] if taken else pairs.limit(0)
     for more in taken[1:]:
         out = out.unionByName(more)

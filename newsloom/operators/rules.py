@@ -148,7 +148,7 @@ def apply_origin(df: DataFrame, origin: str = "origin", tags: str | None = None)
     )
 
 
-def match_terms_by_join(docs: DataFrame, terms: DataFrame, key: str, text: str, max_words: int = 4) -> DataFrame:
+def match_terms_by_join(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """Whole-word hits (key, term) for dictionaries too large for a regular expression.
 
     Every text becomes its distinct word n-grams and meets the dictionary in one equi-join, so work
@@ -161,7 +161,10 @@ def match_terms_by_join(docs: DataFrame, terms: DataFrame, key: str, text: str,
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
 
-    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, max_words + 1)]))
+    # The lengths that occur: as many rows as different term lengths.
+    size = F.size(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)(\w+)"), 1))
+    lengths = sorted(r[0] for r in terms.select(size).distinct().collect() if r[0] and r[0] > 0)
+    grams = F.flatten(F.array(*[grams_of(n) for n in lengths] or [F.array().cast("array<string>")]))
     exploded = tokens.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     dictionary = terms.withColumn(
         "_gram", F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)(\w+)"), 1), " ")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.functions.money import lookup
-from newsloom.operators.skew import attach_per_key, rank_all, running_max, top_k
+from newsloom.operators.skew import attach_per_key, equal_keys, rank_all, running_max, top_k
 from newsloom.session import cut
 
 
@@ -182,7 +182,8 @@ def tie_break(ranked: DataFrame, scope: list[str], rank_col: str = "base_rank")
     )
     # One row per (scope, rank) on both sides: no key repeats.
     same = [*scope, rank_col]
-    rows = rows.join(moved, same, "left")
+    moved = moved.select(*[F.col(k).alias(f"_m{k}") for k in same], "_moved")
+    rows = rows.join(moved, equal_keys(same, [f"_m{k}" for k in same]), "left")
     tie_rank = F.when(F.col("_passed"), F.col(rank_col) - 1).otherwise(F.col(rank_col) + F.coalesce("_moved", F.lit(0)))
     return rows.select(*ranked.columns, tie_rank.alias("tie_rank"))
 

@@ -8,72 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from newsloom.session import cut, cut_with
+from newsloom.session import cut
 
-HOT_ROWS = 1_000_000
-# Plans that read less than this many bytes in all cannot hold a harmful key: they take the plain join
-# and the plain window, with the same result and fewer jobs.
-SMALL_INPUT = 32 * 1024 * 1024
 
+def equal_keys(left: Sequence[str], right: Sequence[str]) -> list[Column]:
+    """Join condition on equal keys, null equal to null; Spark still plans it as an equi-join."""
+    return [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)]
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of all tables a plan reads, from the planner's own statistics; no job runs."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
 
+def attach_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], count_col: str = "", how: str = "left") -> DataFrame:
+    """Join one-row-per-key data back to its rows; null keys match null keys.
 
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_INPUT
-
-
-def attach_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    count_col: str,
-    hot_rows: int = HOT_ROWS,
-    how: str = "left",
-) -> DataFrame:
-    """Join one-row-per-key data back to its rows without sending a hot key to one task.
-
-    ``per_key`` carries the number of rows behind each key in ``count_col``; it is written once, and its
-    largest count is read off while writing.  Without a key above ``hot_rows``, or over a small input, this
-    is a plain join.
-    Otherwise the hot keys, at most ``total rows / hot_rows`` many, are broadcast, and their rows leave
-    the shuffle join through a salted key that matches nothing.
+    A key with a large share of all rows is split over several tasks at run time by the adaptive skew join, which
+    ``session.prepare`` enables also where an aggregate follows on the same key.  ``count_col`` is one of the payload
+    columns and kept for callers that name it.
     """
     payload = [c for c in per_key.columns if c not in keys]
-    top = 0
-    if not is_small(rows):
-        per_key, seen = cut_with(per_key, "per-key", top=F.max(count_col))
-        top = seen["top"] or 0
-    side = per_key.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(count_col).alias("_k_n"),
-        F.struct(*[F.col(c) for c in payload]).alias("_found"),
-    )
-    on_keys = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    mode = "inner" if how == "inner" else "left"
-    if top <= hot_rows:
-        joined = rows.join(side, on_keys, mode)
-    else:
-        hot = side.filter(F.col("_k_n") > hot_rows).select(
-            *[F.col(f"_k_{k}").alias(f"_h_{k}") for k in keys], F.col("_found").alias("_hot")
-        )
-        cold = side.filter(F.col("_k_n") <= hot_rows).withColumn("_k_salt", F.lit(0))
-        on_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-        tagged = rows.join(F.broadcast(hot), on_hot, "left")
-        # Salts 1.. never equal the cold side's 0: hot rows spread out and find no partner there.
-        spread = F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns[:8]]), F.lit(4096))
-        tagged = tagged.withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(0).cast("int"))
-        joined = tagged.join(cold, [*on_keys, F.col("_salt") == F.col("_k_salt")], "left").withColumn(
-            "_found", F.coalesce("_hot", "_found")
-        )
-        if mode == "inner":
-            joined = joined.filter(F.col("_found").isNotNull())
+    side = per_key.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*[F.col(c) for c in payload]).alias("_found"))
+    joined = rows.join(side, equal_keys(keys, [f"_k_{k}" for k in keys]), "inner" if how == "inner" else "left")
     return joined.select(*[F.col(c) for c in rows.columns], *[F.col(f"_found.{c}").alias(c) for c in payload])
 
 
@@ -104,9 +56,6 @@ def rank_all(
     partition (and the first position of each scope) then turns local positions into ranks.
     """
     keys = [F.col(c).asc() for c in scope] + list(order)
-    if partitions is None and is_small(rows):
-        w = Window.partitionBy(*scope).orderBy(*order)
-        return cut(rows.withColumn(rank_col, F.row_number().over(w).cast("long")), "rank")
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -131,32 +80,53 @@ def rank_all(
 
 
 BLOCK_ROWS = 4096
+#: Levels of blocks: the last window of a scope sees one row per BLOCK_ROWS ** LEVELS positions.
+LEVELS = 3
 
 
-def running_sum(rows: DataFrame, scope: Sequence[str], pos: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over earlier positions of a scope (0-based dense ``pos``), in two levels.
+def _carried(rows: DataFrame, scope: Sequence[str], block: Column, fold, value: Column, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_block``, per block what all earlier blocks of the scope fold to as ``_carry``)."""
+    blocked = rows.withColumn("_block", block)
+    totals = blocked.groupBy(*scope, "_block").agg(fold(value).alias("_total"))
+    if levels <= 1:
+        prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        return blocked, totals.withColumn("_carry", fold(F.col("_total")).over(prior)).drop("_total")
+    inner = totals.withColumnRenamed("_block", "_place")
+    outer, carry = _carried(inner, scope, F.floor(F.col("_place") / BLOCK_ROWS), fold, F.col("_total"), levels - 1)
+    inside = Window.partitionBy(*scope, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    own = outer.withColumn("_own", fold(F.col("_total")).over(inside))
+    joined = _join_blocks(own, carry, scope)
+    # Sums add, maxima take the larger; a null on either side is nothing carried.
+    both = fold_pair(fold, F.col("_own"), F.col("_carry"))
+    return blocked, joined.select(*scope, F.col("_place").alias("_block"), both.alias("_carry"))
 
-    A window runs inside blocks of 4,096 positions; block totals, one row per block, carry the rest.
-    """
-    blocked = rows.withColumn("_block", F.floor(F.col(pos) / BLOCK_ROWS))
+
+def fold_pair(fold, a: Column, b: Column) -> Column:
+    if fold is F.max:
+        return F.greatest(a, b)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
+def _join_blocks(rows: DataFrame, carry: DataFrame, scope: Sequence[str]) -> DataFrame:
+    keys = [*scope, "_block"]
+    side = carry.select(*[F.col(k).alias(f"_c{k}") for k in keys], "_carry")
+    return rows.join(side, equal_keys(keys, [f"_c{k}" for k in keys]), "left").drop(*[f"_c{k}" for k in keys])
+
+
+def running_sum(rows: DataFrame, scope: Sequence[str], pos: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over earlier positions of a scope (0-based dense ``pos``), in levels of blocks."""
+    blocked, carry = _carried(rows, scope, F.floor(F.col(pos) / BLOCK_ROWS), F.sum, F.col(value))
     inside = Window.partitionBy(*scope, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    blocked = blocked.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    totals = blocked.groupBy(*scope, "_block").agg(F.sum(value).alias("_t"))
-    prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(prior), F.lit(0))).drop("_t").withColumnRenamed("_before", "_carried")
-    # A block key never holds more than BLOCK_ROWS rows, so this join cannot skew.
-    joined = blocked.join(totals, [*scope, "_block"])
-    return joined.withColumn(out, F.col("_carried") + F.col("_in")).drop("_block", "_in", "_carried")
+    joined = _join_blocks(blocked.withColumn("_in", F.sum(value).over(inside)), carry, scope)
+    return joined.withColumn(out, F.coalesce(fold_pair(F.sum, F.col("_in"), F.col("_carry")), F.lit(0))).drop("_block", "_in", "_carry")
 
 
 def running_max(rows: DataFrame, scope: Sequence[str], pos: str, value: Column, out: str) -> DataFrame:
-    """Largest ``value`` at or before each 1-based dense position of a scope, nulls skipped, in two levels."""
-    blocked = rows.withColumn("_block", F.floor((F.col(pos) - 1) / BLOCK_ROWS)).withColumn("_v", value)
+    """Largest ``value`` at or before each 1-based dense position of a scope, nulls skipped, in levels of blocks."""
+    rows = rows.withColumn("_v", value)
+    blocked, carry = _carried(rows, scope, F.floor((F.col(pos) - 1) / BLOCK_ROWS), F.max, F.col("_v"))
     inside = Window.partitionBy(*scope, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    tails = blocked.groupBy(*scope, "_block").agg(F.max("_v").alias("_tail"))
-    prior = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("_carry", F.max("_tail").over(prior)).drop("_tail")
-    joined = blocked.withColumn("_in", F.max("_v").over(inside)).join(carried, [*scope, "_block"])
+    joined = _join_blocks(blocked.withColumn("_in", F.max("_v").over(inside)), carry, scope)
     return joined.withColumn(out, F.coalesce("_in", "_carry")).drop("_block", "_v", "_in", "_carry")
 
 
@@ -166,5 +136,6 @@ def previous_value(rows: DataFrame, scope: Sequence[str], order: Sequence[Column
     Also keeps the 1-based rank as ``_rank``.
     """
     ranked = rank_all(rows, order, scope, "_rank")
-    before = ranked.select(*scope, (F.col("_rank") + 1).alias("_rank"), F.col(value).alias(out))
-    return ranked.join(before, [*scope, "_rank"], "left")
+    keys = [*scope, "_rank"]
+    before = ranked.select(*[F.col(k).alias(f"_p{k}") for k in scope], (F.col("_rank") + 1).alias("_p_rank"), F.col(value).alias(out))
+    return ranked.join(before, equal_keys(keys, [f"_p{k}" for k in keys]), "left").drop(*[f"_p{k}" for k in keys])

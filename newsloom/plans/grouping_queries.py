@@ -83,7 +83,7 @@ v AS (SELECT a.id AS a, b.id AS b, CASE
 e AS (SELECT a, b FROM v WHERE verdict IN ('duplicate', 'same') UNION ALL SELECT b, a FROM v WHERE verdict IN ('duplicate', 'same')),
 reach AS (SELECT id AS node, id AS root FROM p UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node),
 m AS (SELECT node AS article_id, min(root) AS root FROM reach GROUP BY node),
-ids AS (SELECT root, 'pe-' || substr(sha256(string_agg(article_id, '|' ORDER BY article_id)), 1, 12) AS cluster_id, count(*) AS size FROM m GROUP BY root),
+ids AS (SELECT root, 'pe-' || substr(sha256(concat_ws('|', count(*)::varchar, sum(('0x' || substr(sha256(article_id), 1, 16))::hugeint)::varchar, sum(('0x' || substr(sha256(article_id), 17, 16))::hugeint)::varchar, sum(('0x' || substr(sha256(article_id), 33, 16))::hugeint)::varchar, sum(('0x' || substr(sha256(article_id), 49, 16))::hugeint)::varchar)), 1, 12) AS cluster_id, count(*) AS size FROM m GROUP BY root),
 dup AS (SELECT DISTINCT x.article_id, x.root FROM m x JOIN v ON v.verdict = 'duplicate' AND (v.a = x.article_id OR v.b = x.article_id) WHERE x.article_id <> x.root),
 amb AS (SELECT DISTINCT x.root, y.article_id AS partner FROM v JOIN m x ON x.article_id = v.a JOIN m y ON y.article_id = v.b WHERE v.verdict = 'ambiguous' AND x.root <> y.root
         UNION SELECT DISTINCT y.root, x.article_id FROM v JOIN m x ON x.article_id = v.a JOIN m y ON y.article_id = v.b WHERE v.verdict = 'ambiguous' AND x.root <> y.root)

@@ -32,7 +32,7 @@ s AS (SELECT *, fit, materiality AS mat, transmission AS tra, CASE materiality W
     "research_run",
     _RUN_SQL + """SELECT aid AS primary_article_id, size, total AS total_score, recommendation,
     array_to_string(list_sort(CASE WHEN size > 1 THEN list_append(reason_codes, 'duplicate') ELSE reason_codes END), '|') AS codes, row_number() OVER (ORDER BY total DESC,
-      'pe-' || substr(sha256((SELECT string_agg(q.aid, '|' ORDER BY q.aid) FROM q WHERE q.root = g.root)), 1, 12)) AS position FROM g""",
+      'pe-' || substr(sha256((SELECT concat_ws('|', count(*)::varchar, sum(('0x' || substr(sha256(q.aid), 1, 16))::hugeint)::varchar, sum(('0x' || substr(sha256(q.aid), 17, 16))::hugeint)::varchar, sum(('0x' || substr(sha256(q.aid), 33, 16))::hugeint)::varchar, sum(('0x' || substr(sha256(q.aid), 49, 16))::hugeint)::varchar) FROM q WHERE q.root = g.root)), 1, 12)) AS position FROM g""",
 )
 def research_run(spark, sf):
     """Propose, cluster, score, validate, rank; no region is ever European here, so no tie-break moves."""

@@ -79,7 +79,7 @@ SELECT doc_id, term FROM docs, terms WHERE contains(t, ' ' || term || ' ')
 def term_dictionary(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1)
     terms = table(spark, sf, "benchmark").select(F.array_join(F.slice(words, 1, 2), " ").alias("term")).distinct()
-    return rules.match_terms_by_join(documents(spark, sf), terms, "doc_id", "text", 2).select("doc_id", "term").distinct()
+    return rules.match_terms_by_join(documents(spark, sf), terms, "doc_id", "text").select("doc_id", "term").distinct()
 
 
 # --- ids and URLs ----------------------------------------------------------------------------

@@ -12,6 +12,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -75,12 +76,3 @@ def release(df: DataFrame | None) -> None:
     sc = df.sparkSession.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of a few unsplittable files one partition per core before per-row work on long text.
-
-    A scan of many files is left alone: it already fills the cluster.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

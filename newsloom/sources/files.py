@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from newsloom import fixed_values as fv
@@ -81,11 +82,14 @@ def write_days(spark: SparkSession, new_cards: DataFrame, table: str, today: Col
     from newsloom.session import cut
 
     cutoff = F.date_sub(today, window_days)
-    fresh = new_cards.filter(F.col("date") >= cutoff).dropDuplicates(["id"])
-    try:
-        known = spark.read.schema(new_cards.schema).parquet(table)
-    except Exception:  # noqa: BLE001 - the first batch finds no table
-        known = spark.createDataFrame([], new_cards.schema)
+    # Of several new cards with one id the newest stays, then the one with the smallest digest.
+    order = [F.col("published_at").desc_nulls_last(), F.sha2(F.to_json(F.struct(*new_cards.columns)), 256)]
+    rows = new_cards.filter(F.col("date") >= cutoff)
+    fresh = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("_nth = 1").drop("_nth")
+    # Only a table that does not exist counts as empty; any other failure stops the job before a day is rewritten.
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    known = spark.read.schema(new_cards.schema).parquet(table) if exists else spark.createDataFrame([], new_cards.schema)
     added = cut(fresh.join(known.select("id"), "id", "left_anti").select(*new_cards.columns), "added")
     days = F.broadcast(added.select("date").distinct())
     touched = known.join(days, "date", "left_semi").select(*new_cards.columns)

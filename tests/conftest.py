@@ -27,9 +27,8 @@ def spark():
 
 @pytest.fixture
 def careful(monkeypatch):
-    """Take every path meant for large inputs."""
+    """Blocks of three positions, so that small inputs fill all levels of blocks."""
     from newsloom.operators import skew
 
-    monkeypatch.setattr(skew, "SMALL_INPUT", 0)
     monkeypatch.setattr(skew, "BLOCK_ROWS", 3)
     return skew

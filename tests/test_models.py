@@ -20,10 +20,10 @@ def test_hot_keys_join_like_any_other(spark, careful):
     data = [(i, "hot" if i % 3 else f"k{i}") for i in range(300)]
     df = spark.createDataFrame(data, "id int, k string")
     per = df.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    got = {(r["id"], r["k"], r["n"], r["low"]) for r in rows(skew.attach_per_key(df, per, ["k"], "n", hot_rows=50))}
+    got = {(r["id"], r["k"], r["n"], r["low"]) for r in rows(skew.attach_per_key(df, per, ["k"], "n"))}
     n = {k: [i for i, x in data if x == k] for _, k in data}
     assert got == {(i, k, len(n[k]), min(n[k])) for i, k in data}
-    only = skew.attach_per_key(df, per.filter("n > 50"), ["k"], "n", hot_rows=50, how="inner")
+    only = skew.attach_per_key(df, per.filter("n > 50"), ["k"], "n", how="inner")
     assert only.count() == 200
 
 
@@ -128,7 +128,7 @@ def test_clusters_equal_the_pairwise_rule(spark):
     assert listed == partners
     doubled = {p for pair, v in verdicts.items() if v == "duplicate" for p in pair}
     assert {r["article_id"] for r in rows(clusters.duplicates(profile, members))} == {d for d in doubled if root[d] != d}
-    big = clusters.cluster_ids(members, block=2)
+    big = clusters.cluster_ids(members)
     assert big.select("cluster_id").distinct().count() == len(set(root.values()))
 
 
@@ -251,3 +251,69 @@ def test_greedy_matching_equals_the_sequential_greedy(spark):
             used |= {e, g}
     df = spark.createDataFrame(unique, "o int, e string, g string")
     assert {(r["e"], r["g"]) for r in rows(matching.greedy_pairs(df, "e", "g", ["o", "e", "g"]))} == set(taken)
+
+
+def test_links_act_in_time_order(spark):
+    import random
+
+    from newsloom.operators.events import _follow_links
+
+    def in_order(links):
+        label = {k: k for a, b, _, _ in links for k in (a, b)}
+        for a, b, _, _ in sorted(links, key=lambda x: (x[2], x[3])):
+            old, new = label[a], label[b]
+            label = {k: new if v == old else v for k, v in label.items()}
+        return label
+
+    rng = random.Random(3)
+    cases = [[("A", "B", "1", "x"), ("A", "reviewed|C", "2", "y"), ("D", "B", "3", "z")], [("A", "B", "1", "x"), ("B", "A", "2", "y")]]
+    for k in range(6):
+        names = [f"{k}n{i}" for i in range(8)]
+        cases.append([(*rng.sample(names, 2), str(rng.randrange(4)), f"c{i}") for i in range(12)])
+    merged = [tuple(f"{k}:{x}" if i < 2 else x for i, x in enumerate(link)) for k, case in enumerate(cases) for link in case]
+    got = {r["bucket"]: r["final"] for r in rows(_follow_links(spark.createDataFrame(merged, "a string, b string, at string, cid string")))}
+    want = {}
+    for k, case in enumerate(cases):
+        want |= in_order([tuple(f"{k}:{x}" if i < 2 else x for i, x in enumerate(link)) for link in case])
+    assert got == want
+    assert got["0:A"] == "0:reviewed|C" == got["0:D"] and got["1:A"] == "1:B"
+
+
+def test_fallback_ids_never_collide(spark):
+    from newsloom.operators.events import carry_event_ids
+
+    buckets = spark.createDataFrame([("X", 1, "1"), ("Y", 2, "5")], "bucket string, first_t long, first_id string")
+    members = spark.createDataFrame([("X", "1", 1), ("Y", "5", 2)], "bucket string, id string, t long")
+    prior = spark.createDataFrame([("1", "evt-5")], "id string, event_id string")
+    none = spark.createDataFrame([], "event_id string")
+    got = {r["bucket"]: r["event_id"] for r in rows(carry_event_ids(buckets, members, prior, none))}
+    assert got["X"] == "evt-5" and got["Y"].startswith("evt-5-")
+
+
+def test_null_scopes_keep_their_rows(spark, careful):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "s", i % 5) for i in range(40)], "id int, scope string, v int")
+    ranked = skew.rank_all(df, [F.col("id")], ["scope"], "k", partitions=4)
+    assert ranked.count() == 40 and {r["k"] for r in rows(ranked.filter("scope IS NULL"))} == set(range(1, 15))
+    for made in (
+        skew.running_max(ranked, ["scope"], "k", F.col("v"), "out"),
+        skew.running_sum(ranked.withColumn("p", F.col("k") - 1), ["scope"], "p", "v", "out"),
+        skew.previous_value(df, ["scope"], [F.col("id")], "v", "out"),
+    ):
+        got = {(r["id"], r["out"]) for r in rows(made)}
+        assert len(got) == 40 and sum(x[1] is not None for x in got) >= 38
+
+
+def test_long_chains_of_parents(spark):
+    from newsloom.operators.baseline import ancestors
+
+    edges = spark.createDataFrame([(f"e{i:03}", f"e{i + 1:03}") for i in range(80)], "entity string, parent string")
+    got = rows(ancestors(edges).filter("entity = 'e000'"))
+    assert {(r["ancestor"], r["depth"]) for r in got} == {(f"e{i:03}", i) for i in range(1, 81)}
+
+
+def test_terms_of_any_length(spark):
+    from newsloom.operators.rules import match_terms_by_join
+
+    docs = spark.createDataFrame([(1, "one two three four five six")], "id int, text string")
+    terms = spark.createDataFrame([("two three four five six",), ("one",)], "term string")
+    assert {r["term"] for r in rows(match_terms_by_join(docs, terms, "id", "text"))} == {"two three four five six", "one"}
