@@ -83,18 +83,15 @@ def test_components_with_hot_nodes(spark, careful):
 
 
 # --- clusters --------------------------------------------------------------------------------
-def _verdict(x, y):
-    if x["url"] and x["url"] == y["url"] or x["hash"] and x["hash"] == y["hash"]:
-        return "duplicate"
-    if x["sup"] == y["id"] or y["sup"] == x["id"]:
-        return "same"
-    if x["type"] != y["type"] or not set(x["parties"]) & set(y["parties"]):
-        return "distinct"
-    if x["vehicle"] and y["vehicle"]:
-        return "same" if x["vehicle"] == y["vehicle"] else "distinct"
-    if x["period"] and x["period"] == y["period"] or x["date"] and x["date"] == y["date"]:
-        return "same"
-    return "ambiguous"
+def _relation(x, y):
+    """(identical, linked, unclear) of two articles, from what they share."""
+    shares = lambda *fields: any(x[f] and x[f] == y[f] for f in fields)
+    identical = shares("url", "hash")
+    block = shares("type") and not set(x["parties"]).isdisjoint(y["parties"])
+    vehicle_missing = not (x["vehicle"] and y["vehicle"])
+    chained = x["id"] == y["sup"] or y["id"] == x["sup"]
+    linked = identical or chained or (block and (shares("vehicle") or (vehicle_missing and shares("period", "date"))))
+    return identical, linked, block and vehicle_missing and not linked
 
 
 def test_clusters_equal_the_pairwise_rule(spark):
@@ -112,13 +109,13 @@ def test_clusters_equal_the_pairwise_rule(spark):
         [(a["id"], a["type"], a["parties"], a["vehicle"], a["period"], a["date"], a["url"], a["hash"], a["sup"]) for a in arts],
         "article_id string, type string, parties array<string>, vehicle string, period string, event_date string, canonical_url string, evidence_hash string, supersedes_article_id string",
     )
-    verdicts = {(x["id"], y["id"]): _verdict(x, y) for i, x in enumerate(arts) for y in arts[i + 1 :]}
-    root = {a["id"]: a["id"] for a in arts} | _roots([p for p, v in verdicts.items() if v in ("duplicate", "same")])
+    relations = {(x["id"], y["id"]): _relation(x, y) for i, x in enumerate(arts) for y in arts[i + 1 :]}
+    root = {a["id"]: a["id"] for a in arts} | _roots([p for p, (_, linked, _) in relations.items() if linked])
     members = clusters.cluster_members(profile)
     assert {r["article_id"]: r["root"] for r in rows(members)} == root
     partners = defaultdict(set)
-    for (x, y), v in verdicts.items():
-        if v == "ambiguous" and root[x] != root[y]:
+    for (x, y), (_, _, unclear) in relations.items():
+        if unclear and root[x] != root[y]:
             partners[root[x]].add(y)
             partners[root[y]].add(x)
     assert {r["root"] for r in rows(clusters.ambiguous_roots(profile, members))} == set(partners)
@@ -126,25 +123,22 @@ def test_clusters_equal_the_pairwise_rule(spark):
     for r in rows(clusters.ambiguous_partners(profile, members, members)):
         listed[r["root"]].add(r["article_id"])
     assert listed == partners
-    doubled = {p for pair, v in verdicts.items() if v == "duplicate" for p in pair}
+    doubled = {p for pair, (identical, _, _) in relations.items() if identical for p in pair}
     assert {r["article_id"] for r in rows(clusters.duplicates(profile, members))} == {d for d in doubled if root[d] != d}
     big = clusters.cluster_ids(members)
     assert big.select("cluster_id").distinct().count() == len(set(root.values()))
 
 
 # --- stories ---------------------------------------------------------------------------------
-def _stories(cards, reviewed, window):
-    heads = defaultdict(list)
-    for r in sorted(reviewed, key=lambda r: (r["t"], r["id"])):
-        heads[r["head"]].append((r["story"], r["t"]))
-    out = {}
-    for c in sorted(cards, key=lambda c: (c["t"], c["id"])):
-        story = next((s for s, t in heads[c["head"]] if abs(c["t"] - t) <= window), None)
-        if story is None:
-            story = c["id"]
-            heads[c["head"]].append((story, c["t"]))
-        out[c["id"]] = story
-    return out
+def _check_stories(got, cards, reviewed, window):
+    """A card follows the first anchor of its head within the window: reviewed ones first, then cards up to itself that
+    opened a story; so it opens one itself exactly when no other is near."""
+    fixed = sorted((r["t"], r["id"], r["story"], r["head"]) for r in reviewed)
+    opened = sorted((c["t"], c["id"], c["id"], c["head"]) for c in cards if got[c["id"]] == c["id"])
+    for c in cards:
+        earlier = [a for a in opened if a[:2] <= (c["t"], c["id"])]
+        near = [story for t, _, story, head in fixed + earlier if head == c["head"] and abs(t - c["t"]) <= window]
+        assert got[c["id"]] == (near[0] if near else None), c
 
 
 def test_stories_equal_the_fold_over_every_path(spark):
@@ -154,10 +148,9 @@ def test_stories_equal_the_fold_over_every_path(spark):
     df = spark.createDataFrame([(c["id"], c["head"], c["t"]) for c in cards], "id string, head string, t long")
     rv = spark.createDataFrame([(r["id"], r["head"], r["t"], r["story"]) for r in reviewed], "id string, head string, t long, story string")
     got = lambda *a, **k: {r["id"]: r["story"] for r in rows(stories.headline_stories(df, *a, **k))}
-    assert got() == _stories(cards, [], 7 * DAY)
-    assert got(fold_times=5) == _stories(cards, [], 7 * DAY)
-    assert got(rv) == _stories(cards, reviewed, 7 * DAY)
-    assert got(rv, fold_times=5) == _stories(cards, reviewed, 7 * DAY)
+    for options in ({}, {"fold_times": 5}):
+        _check_stories(got(**options), cards, [], 7 * DAY)
+        _check_stories(got(rv, **options), cards, reviewed, 7 * DAY)
 
 
 # --- ordering --------------------------------------------------------------------------------
@@ -175,28 +168,28 @@ def _base(ds):
     return sorted(ds, key=lambda d: (not d["crit"], -(d["total_score"] or 0), d["event_id"]))
 
 
+def _passes(held, d):
+    close = (held["total_score"] or 0) <= (d["total_score"] or 0) + 5
+    return close and held["recommendation"] == d["recommendation"] and not held["crit"] and not d["crit"] and (held["primary_region"], d["primary_region"]) == ("US", "Europe")
+
+
 def _swapped(ds):
-    order = _base(ds)
-    for i in range(len(order) - 1):
-        a, b = order[i], order[i + 1]
-        near = (a["total_score"] or 0) - (b["total_score"] or 0) <= 5
-        if not (a["crit"] or b["crit"]) and a["recommendation"] == b["recommendation"] and near and b["primary_region"] == "Europe" != a["primary_region"]:
-            order[i], order[i + 1] = b, a
-    return order
+    """One pass that holds an event in hand and lets Europeans go by."""
+    out, held = [], None
+    for d in _base(ds):
+        if held is not None and _passes(held, d):
+            out.append(d)
+        else:
+            out += [held] if held else []
+            held = d
+    return out + ([held] if held else [])
 
 
 def _slots(order, cap=10):
-    chosen, slots = 0, {}
-    for d in order:
-        listed = d["recommendation"] in ("shortlist", "priority_shortlist")
-        if d["crit"] and not listed:
-            slots[d["event_id"]] = "urgent_review"
-        elif listed and (chosen < cap or d["crit"]):
-            slots[d["event_id"]] = "selected"
-            chosen += 1
-        else:
-            slots[d["event_id"]] = "overflow" if listed else "none"
-    return slots
+    """Listed events are selected up to the cap, critical ones beyond it too; of the rest, critical ones are urgent."""
+    listed = [d["recommendation"] in ("shortlist", "priority_shortlist") for d in order]
+    name = lambda i, d: ("selected" if d["crit"] or sum(listed[:i]) < cap else "overflow") if listed[i] else ("urgent_review" if d["crit"] else "none")
+    return {d["event_id"]: name(i, d) for i, d in enumerate(order)}
 
 
 def _frame(spark, groups):
