@@ -114,10 +114,14 @@ def clean_html(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def clean_text(text: Column, cap: int = fv.TEXT_CAP) -> Column:
-    """Replacement characters become apostrophes, blanks collapse, length is capped by contract."""
-    repaired = F.regexp_replace(F.coalesce(text, F.lit("")), "�+", "'")
-    return F.left(squeeze(repaired), F.lit(cap))
+def clean_text(text: Column) -> Column:
+    """Replacement characters become apostrophes, blanks collapse; the whole text."""
+    return squeeze(F.regexp_replace(F.coalesce(text, F.lit("")), "�+", "'"))
+
+
+def display_text(text: Column, cap: int = fv.TEXT_CAP) -> Column:
+    """The first characters of the cleaned text, for showing only: identity and digests take the whole."""
+    return F.left(clean_text(text), F.lit(cap))
 
 
 def _nfkc_title(value):

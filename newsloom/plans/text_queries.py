@@ -164,8 +164,8 @@ def canonical_urls_native(spark, sf):
     "fingerprints",
     r"""
     SELECT doc_id, sha256('[' || to_json(title)::varchar || ', ' || to_json(body)::varchar || ']') AS fingerprint FROM (
-      SELECT doc_id, left(trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')), 2500) AS title,
-             left(trim(regexp_replace(text, '\s+', ' ', 'g')), 2500) AS body FROM documents)
+      SELECT doc_id, trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')) AS title,
+             trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents)
     """,
 )
 def fingerprints(spark, sf):
@@ -322,9 +322,9 @@ def headline_tokens(spark, sf):
     )
 
 
-@query("clean_text", r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 2500) AS body FROM documents")
+@query("clean_text", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 2500) AS shown FROM documents")
 def clean_text(spark, sf):
-    return documents(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("body"))
+    return documents(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("body"), text.display_text(F.col("text")).alias("shown"))
 
 
 @query(
