@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
 from newsloom.operators.skew import attach_per_key
 from newsloom.session import cut, release
 
-FOLD_TIMES = 200_000
 WINDOW = fv.NOVELTY_WINDOW_SECONDS * 1_000_000  # times are epoch microseconds
 
 
@@ -35,70 +34,54 @@ def reviewed_anchor_hits(cards: DataFrame, anchors: DataFrame, window: int = WIN
     return hits.groupBy("id").agg(F.min_by("story", F.struct("at", "aid")).alias("story"))
 
 
-def _fold_anchors(times: DataFrame, window: int) -> DataFrame:
-    """Anchors (head, anchor) of heads with few distinct times: one fold over the sorted times."""
+def _followers(times: DataFrame, window: int) -> DataFrame:
+    """head, t, next: for every distinct time of a head its first time beyond the window (null at the end).
 
-    def step(acc, t):
-        is_new = F.size(acc).eqNullSafe(0) | (t - F.element_at(acc, -1) > window)
-        return F.when(is_new, F.array_append(acc, t)).otherwise(acc)
-
-    return times.groupBy("head").agg(F.array_sort(F.collect_list("t")).alias("ts")).select(
-        "head",
-        F.explode(
-            F.aggregate(
-                F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), F.slice("ts", 1, 1), step
-            )
-        ).alias("anchor"),
-    )
-
-
-def _stepped_anchors(times: DataFrame, window: int) -> DataFrame:
-    """Anchors of hot heads, one anchor of every head per round.
-
-    The next anchor is the first time beyond the last anchor's window: a filter and a minimum, both
-    spread over all tasks whatever the size of a head.  There are few hot heads, so the current anchors
-    are a small table; rounds are bounded by (time span / window), not by rows.
+    That time lies in the cell after its own, or is the first of the next cell that has any: one ordered pass per
+    (head, cell), and one over the cells of a head, which the calendar bounds.
     """
-    last = cut(times.groupBy("head").agg(F.min("t").alias("anchor")), "anchors")
-    found = [last]
-    rest = times
-    while True:
-        later = rest.join(F.broadcast(last.select("head", F.col("anchor").alias("_a"))), "head").filter(
-            F.col("t") > F.col("_a") + window
-        ).drop("_a")
-        following = cut(later.groupBy("head").agg(F.min("t").alias("anchor")), "anchors")
-        if following.isEmpty():
-            release(following)
-            break
-        found.append(following)
-        last = following
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def story_anchors(cards: DataFrame, window: int = WINDOW, fold_times: int = FOLD_TIMES) -> DataFrame:
+    cell = F.floor(F.col("t") / window)
+    in_cells = times.select("head", "t", cell.alias("cell"))
+    edge = Window.partitionBy("head").orderBy("cell").rowsBetween(1, 1)
+    starts = in_cells.groupBy("head", "cell").agg(F.min("t").alias("lo")).select("head", "cell", "lo", F.min("lo").over(edge).alias("after"))
+    here = in_cells.select("head", "cell", F.col("t").alias("pos"), F.lit(0).alias("asks"), F.col("t").alias("value"), F.lit(None).cast("long").alias("t"))
+    asks = in_cells.select("head", (F.col("cell") + 1).alias("cell"), (F.col("t") + window).alias("pos"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("value"), "t")
+    later = Window.partitionBy("head", "cell").orderBy("pos", "asks").rowsBetween(1, Window.unboundedFollowing)
+    found = here.unionByName(asks).withColumn("inside", F.min("value").over(later)).filter("asks = 1").select("head", "t", "cell", "inside")
+    known = starts.select(F.col("head").alias("_h"), F.col("cell").alias("_c"), F.col("after").alias("_after"))
+    joined = found.join(known, (F.col("head") == F.col("_h")) & (F.col("cell") == F.col("_c")), "left").withColumnRenamed("_after", "beyond").drop("_h", "_c")
+    own = joined.join(known, (F.col("head") == F.col("_h")) & (F.col("cell") - 1 == F.col("_c")), "left")
+    # Without rows in the cell after its own, what follows its own cell.
+    filled = own.join(starts.select(F.col("head").alias("_h2"), F.col("cell").alias("_c2"), F.lit(True).alias("_full")), (F.col("head") == F.col("_h2")) & (F.col("cell") == F.col("_c2")), "left")
+    following = F.coalesce("inside", F.when(F.col("_full"), F.col("beyond")).otherwise(F.col("_after")))
+    return filled.select("head", "t", following.alias("next"))
+
+
+def story_anchors(cards: DataFrame, window: int = WINDOW) -> DataFrame:
     """Anchors (head, anchor time): the earliest card, then each first card beyond the last one's window.
 
-    Rows are reduced to distinct (head, time) first.  Heads with at most ``fold_times`` distinct times
-    are folded in place; the few others (at most rows / fold_times) are stepped.
+    The chain from a head's first time along the followers is marked by pointer doubling: O(log anchors) rounds of
+    joins for all heads together, whatever the size of a head.
     """
-    times = cards.select("head", "t").distinct()
-    sizes = times.groupBy("head").agg(F.count("*").alias("n"))
-    hot = cut(sizes.filter(F.col("n") > fold_times).select("head"), "hot")
-    if hot.isEmpty():
-        return _fold_anchors(times, window)
-    small = times.join(F.broadcast(hot), "head", "left_anti")
-    large = cut(times.join(F.broadcast(hot), "head", "left_semi"), "hot-times")
-    return _fold_anchors(small, window).unionByName(_stepped_anchors(large, window))
+    times = cut(cards.select("head", "t").distinct(), "times")
+    first = times.groupBy("head").agg(F.min("t").alias("_first"))
+    state = attach_per_key(_followers(times, window), first, ["head"]).withColumn("on", F.col("t") == F.col("_first")).drop("_first")
+    state = cut(state, "chain")
+    while not state.filter(F.col("on") & F.col("next").isNotNull()).isEmpty():
+        target = state.select(F.col("head").alias("_h"), F.col("t").alias("_t"), F.col("next").alias("_n"))
+        marks = state.filter(F.col("on") & F.col("next").isNotNull()).select(F.col("head").alias("_mh"), F.col("next").alias("_m")).distinct()
+        leap = state.join(target, (F.col("head") == F.col("_h")) & (F.col("next") == F.col("_t")), "left")
+        leap = leap.join(marks, (F.col("head") == F.col("_mh")) & (F.col("t") == F.col("_m")), "left")
+        following = cut(leap.select("head", "t", F.col("_n").alias("next"), (F.col("on") | F.col("_m").isNotNull()).alias("on")), "chain")
+        release(state)
+        state = following
+    return state.filter("on").select("head", F.col("t").alias("anchor"))
 
 
 def headline_stories(
     cards: DataFrame,
     reviewed: DataFrame | None = None,
     window: int = WINDOW,
-    fold_times: int = FOLD_TIMES,
 ) -> DataFrame:
     """id, story for every card with a headline key.
 
@@ -110,7 +93,7 @@ def headline_stories(
     if reviewed is not None:
         decided = reviewed_anchor_hits(cards, reviewed, window)
         pending = cards.join(decided.select("id"), "id", "left_anti")
-    anchors = story_anchors(pending, window, fold_times)
+    anchors = story_anchors(pending, window)
     # A card's anchor lies in its own time cell or the one before: two anchors are over a window apart.
     cell = lambda c: F.floor(F.col(c) / window)
     spots = anchors.select(
