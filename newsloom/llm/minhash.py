@@ -6,8 +6,9 @@ permutations (32 bands of 4), so two sets at similarity 0.75 miss every band wit
 
 Documents with equal shingle sets are one class from the start and never meet as pairs.  Inside a bucket no pairs are
 listed: each member meets the bucket's pivot, the member that shares most with others.  Only members the pivot does not
-explain are compared further, and only where an exact bound leaves room: a shingle that no other candidate has can
-never be shared, so with c shingles left of n a link needs 7 min(c, c') >= 3 (n + n').
+explain are compared further, and only where exact bounds leave room: a shingle that no other candidate has can
+never be shared, so with c shingles left of n a link needs 7 min(c, c') >= 3 (n + n'); and every bit of a set's 512-bit
+map that is missing from the other's is a shingle the other lacks.  A pair is compared in its first common bucket only.
 
 Defined results: words are cut on ASCII blanks after lowering A-Z; null, empty and blank texts have no shingles and link
 with nothing; fewer than five words are one shingle; rows that share an id are one document with the links of all its
@@ -36,7 +37,8 @@ _U = np.uint64
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 _SHIFTS = mix(np.arange(1, PERMUTATIONS + 1, dtype=_U) * _U(0xE7037ED1A0B428DB))
 _SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
-_SET = "doc_id long, n long, shingles binary"
+_SET = "doc_id long, n long, shingles binary, bits array<long>"
+MAP_BITS = 512
 
 
 def min_max(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,11 @@ def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for r0, r1, flat, bounds in _slices_of(batch):
         raw = pa.Array.from_buffers(pa.binary(), r1 - r0, [None, pa.py_buffer((bounds * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), pa.array(np.diff(bounds)), raw], names=["doc_id", "n", "shingles"])
+        seen = np.zeros((r1 - r0, MAP_BITS), bool)
+        seen[np.repeat(np.arange(r1 - r0), np.diff(bounds)), (flat >> _U(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)] = True
+        maps = np.packbits(seen, axis=1, bitorder="little").view(np.int64).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(maps) + 1, MAP_BITS // 64, dtype=np.int32)), pa.array(maps))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), pa.array(np.diff(bounds)), raw, lists], names=["doc_id", "n", "shingles", "bits"])
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -129,6 +135,16 @@ def _room(percent: int, c: Column, n: Column, c2: Column, n2: Column) -> Column:
     return (100 + percent) * F.least(c, c2) >= percent * (n + n2)
 
 
+def _overlap(percent: int, bits: Column, n: Column, bits2: Column, n2: Column) -> Column:
+    """The same question, from the bits that only one of the two maps has; no maps, no objection."""
+
+    def lacking(a: Column, b: Column) -> Column:
+        return sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(1, MAP_BITS // 64)), F.bit_count(a[0].bitwiseAND(F.bitwise_not(b[0]))))
+
+    common = F.least(n - lacking(bits, bits2), n2 - lacking(bits2, bits))
+    return F.coalesce((100 + percent) * common >= percent * (n + n2), F.lit(True))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -149,25 +165,35 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).filter("doc_id = other")
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
     )
-    size = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("n").alias("all"))
-    facts = cut(size.join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.least("n", F.col("all") - F.coalesce("lone", F.lit(0))).alias("c")), "facts")
-    # A document with several texts keeps the loosest bound: its largest n against all its shared shingles.
-    member = cut(inside.join(facts, "rep").select("bucket", "rep", "n", "c"), "members")
+    size = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("n").alias("all"), F.when(F.count(F.lit(1)) == 1, F.min("bits")).alias("bits"))
+    # A document with several texts keeps the loosest bounds: its largest n against all its shared shingles, no map.
+    facts = size.join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.least("n", F.col("all") - F.coalesce("lone", F.lit(0))).alias("c"), "bits")
+    facts = cut(facts, "facts")
+    maps = facts.select("rep", "bits")
+    member = cut(inside.join(facts.select("rep", "n", "c"), "rep").select("bucket", "rep", "n", "c"), "members")
     pivots = member.groupBy("bucket").agg(F.max_by(F.struct("rep", "n", "c"), F.struct(F.col("c") / F.col("n"), "c", -F.col("rep"))).alias("p"))
-    pivots = cut(pivots.select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc")), "pivots")
-    first = member.join(pivots, "bucket").filter((F.col("rep") != F.col("pivot")) & _room(percent, F.col("c"), F.col("n"), F.col("pc"), F.col("pn")))
-    edges = cut(_confirmed(first.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent), "edges")
+    pivots = cut(pivots.select("bucket", *[F.col(f"p.{x}").alias(f"p_{x}") for x in ("rep", "n", "c")]), "pivots")
+    first = member.join(pivots, "bucket").filter((F.col("rep") != F.col("p_rep")) & _room(percent, F.col("c"), F.col("n"), F.col("p_c"), F.col("p_n")))
+    first = first.select("rep", "n", "p_rep", "p_n").distinct().join(maps, "rep").join(maps.select(F.col("rep").alias("p_rep"), F.col("bits").alias("p_bits")), "p_rep")
+    first = first.filter(_overlap(percent, F.col("bits"), F.col("n"), F.col("p_bits"), F.col("p_n"))).select(F.col("rep").alias("a"), F.col("p_rep").alias("b"))
+    edges = cut(_confirmed(first, sets, percent), "edges")
     roots = cut(connected_components(edges), "roots")
     # Members of another component than their pivot's, and all they could still link with in the bucket.
-    placed = member.join(roots, member.rep == roots.node, "left").select("bucket", "rep", "n", "c", F.coalesce("root", "rep").alias("root"))
-    heads = pivots.join(roots, pivots.pivot == roots.node, "left").select("bucket", "pivot", F.coalesce("root", "pivot").alias("pivot_root"))
+    placed = member.join(roots, member.rep == roots.node, "left").select(*member.columns, F.coalesce("root", "rep").alias("root"))
+    heads = pivots.join(roots, pivots.p_rep == roots.node, "left").select("bucket", "p_rep", F.coalesce("root", "p_rep").alias("p_root"))
     placed = cut(placed.join(heads, "bucket"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("n").alias("_least")).filter("_lo < _hi").select("bucket", "_least")
-    open_ = placed.filter(F.col("root") != F.col("pivot_root")).join(mixed, "bucket")
-    open_ = open_.filter((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("_least")))
-    u = open_.select("bucket", *[F.col(x).alias(f"u_{x}") for x in ("rep", "n", "c", "root")])
-    v = placed.filter(F.col("rep") != F.col("pivot")).select("bucket", "rep", "n", "c", "root", (F.col("root") != F.col("pivot_root")).alias("open"))
-    on = (u.bucket == v.bucket) & (F.col("u_root") != F.col("root")) & (~F.col("open") | (F.col("u_rep") < F.col("rep"))) & _room(percent, F.col("u_c"), F.col("u_n"), F.col("c"), F.col("n"))
+    loose = placed.filter(F.col("root") != F.col("p_root")).join(mixed, "bucket").filter((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("_least")))
+    loose = cut(loose.select("bucket", "rep", "n", "c", "root"), "loose")
+    # A pair is compared in its first common bucket only; a document has at most one bucket per band.
+    homes = inside.groupBy("rep").agg(F.collect_list("bucket").alias("homes"))
+    maps = cut(maps.join(homes, "rep"), "maps")
+    u = loose.join(maps, "rep").select("bucket", *[F.col(x).alias(f"u_{x}") for x in ("rep", "n", "c", "bits", "root", "homes")])
+    v = placed.filter(F.col("rep") != F.col("p_rep")).join(loose.select("bucket").distinct(), "bucket", "left_semi").join(maps, "rep")
+    v = v.select("bucket", "rep", "n", "c", "bits", "homes", "root", (F.col("root") != F.col("p_root")).alias("open"))
+    on = (u.bucket == v.bucket) & (F.col("u_root") != F.col("root")) & (~F.col("open") | (F.col("u_rep") < F.col("rep")))
+    on = on & _room(percent, F.col("u_c"), F.col("u_n"), F.col("c"), F.col("n")) & _overlap(percent, F.col("u_bits"), F.col("u_n"), F.col("bits"), F.col("n"))
+    on = on & (F.array_min(F.array_intersect("u_homes", "homes")) == u.bucket)
     more = u.join(v, on).select(F.col("u_rep").alias("a"), F.col("rep").alias("b")).distinct()
     late = cut(_confirmed(more, sets, percent), "late")
     if late.isEmpty():
