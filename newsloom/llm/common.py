@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,8 +41,14 @@ def arrow_rows(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that shuffle files of finished steps go at once."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver drop what it no longer refers to, so that shuffle files of finished steps go before the next ones.
+
+    The cleaner works beside the driver on what a collection has found; it gets a moment before the next step begins.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def pack_arrays(**columns: np.ndarray) -> bytes:

@@ -36,9 +36,10 @@ from newsloom.llm.text_arrays import mix, powers, slices, utf8
 
 LENGTH = 50
 ANCHOR = 20
+BATCH_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
 GROUP_BYTES = 8 << 20
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 _LONGEST_RUN = 256
 _SEPARATOR = 0xFF  # no byte of UTF-8
 _LAST = np.iinfo(np.int64).max
@@ -98,7 +99,7 @@ def segments(data: np.ndarray, base: np.ndarray, length: int = LENGTH, anchor: i
         pieces = -(-windows // _LONGEST_RUN)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts, windows = np.repeat(starts, pieces) + nth * _LONGEST_RUN, np.minimum(np.repeat(windows, pieces) - nth * _LONGEST_RUN, _LONGEST_RUN)
-    return np.searchsorted(base, starts, "right") - 1, starts, windows, least[starts]
+    return np.searchsorted(base, starts, "right") - 1, starts, windows, least[starts] >> _U(16)
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,65 +130,68 @@ def _split(key: np.ndarray, columns: dict[str, np.ndarray], kind: int) -> list[t
 
 
 def _anchors(buckets: int):
-    """Step 1, by batch of documents (id, tag, group, text).
+    """Step 1, by some megabytes of documents (tag, text).
 
-    Of an anchor that several documents of the batch have, one segment goes to the anchor's bucket, marked as settled,
+    Of an anchor that several of these documents have, one segment goes to the anchor's bucket, marked as settled,
     and the rest travel with any bucket: a very common passage is spread from the start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(3))
-            parts = []
-            for r0, r1 in slices(offsets):
-                base = offsets[r0 : r1 + 1] - offsets[r0]
-                doc, start, windows, code = segments(data[offsets[r0] : offsets[r1]], base)
-                parts.append((doc + r0, (start - base[doc]).astype(np.int32), windows.astype(np.int16), code))
-            if not parts:
-                continue
-            row, start, windows, code = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(row):
-                continue
-            ids, tags, groups = (_long(batch.column(i)) for i in range(3))
-            own = ids[row]
-            order, first = _runs(code)
-            low, high = np.minimum.reduceat(own[order], first), np.maximum.reduceat(own[order], first)
-            known = np.zeros(len(row), np.uint8)
-            many = np.repeat(low < high, np.diff(np.append(first, len(order))))
-            known[order[many]] = 2
-            known[order[first[low < high]]] = 1
-            bucket = (code % _U(buckets)).astype(np.int64)
-            bucket[known == 2] = np.arange(np.count_nonzero(known == 2)) % buckets
-            columns = {"code": code, "id": own, "tag": tags[row], "group": groups[row].astype(np.int64), "start": start, "windows": windows, "known": known}
-            for made in _rows(_split(bucket, columns, 0)).to_batches():
-                yield made
+            tags = _long(batch.column(0))
+            data, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, BATCH_BYTES):
+                if columns := found(data, offsets[a : b + 1], tags[a:b]):
+                    yield from _rows(_split(columns.pop("bucket"), columns, 0)).to_batches()
+
+    def found(data: np.ndarray, offsets: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray] | None:
+        parts = []
+        for r0, r1 in slices(offsets):
+            base = offsets[r0 : r1 + 1] - offsets[r0]
+            doc, start, windows, code = segments(data[offsets[r0] : offsets[r1]], base)
+            parts.append((doc + r0, (start - base[doc]).astype(np.int32), windows.astype(np.int16), code))
+        row, start, windows, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(row):
+            return None
+        own = tags[row]
+        order, first = _runs(code)
+        low, high = np.minimum.reduceat(own[order], first), np.maximum.reduceat(own[order], first)
+        known = np.zeros(len(row), np.uint8)
+        known[order[np.repeat(low < high, np.diff(np.append(first, len(order))))]] = 2
+        known[order[first[low < high]]] = 1
+        bucket = (code % _U(buckets)).astype(np.int64)
+        bucket[known == 2] = np.arange(np.count_nonzero(known == 2)) % buckets
+        # 48 bits of an anchor are enough to find candidates; they travel as two columns.
+        return {"bucket": bucket, "high": (code >> _U(16)).astype(np.uint32), "low": (code & _U(0xFFFF)).astype(np.uint16), "tag": own, "start": start, "windows": windows, "known": known}
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(groups: int):
     """Step 1, by bucket: the segments whose anchor has two documents, dealt to the groups of their documents."""
-    c = unpack_arrays(table["blob"])
-    test = np.flatnonzero(c["known"] < 2)
-    order, first = _runs(c["code"][test])
-    order = test[order]
-    keep = c["known"] == 2
-    if len(order):
-        ids = c["id"][order]
-        several = (np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(c["known"][order], first) > 0)
-        keep[order[np.repeat(several, np.diff(np.append(first, len(order))))]] = True
-    at = np.flatnonzero(keep)
-    return _rows(_split(c["group"][at], {n: c[n][at] for n in ("code", "id", "tag", "start", "windows")}, 0))
-
-
-def _row_of(id_a: np.ndarray, tag_a: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Row of each (id, tag) among ``ids``, ``tags``: the first where rows repeat; -1 if there is none."""
-    key = lambda i, t: mix(i.view(_U)) * _U(_STEP) + t.view(_U)
-    have = key(ids, tags)
+
+    def run(table: pa.Table) -> pa.Table:
+        c = unpack_arrays(table["blob"])
+        code = (c["high"].astype(_U) << _U(16)) | c["low"]
+        test = np.flatnonzero(c["known"] < 2)
+        order, first = _runs(code[test])
+        order = test[order]
+        keep = c["known"] == 2
+        if len(order):
+            tags = c["tag"][order]
+            several = (np.minimum.reduceat(tags, first) < np.maximum.reduceat(tags, first)) | (np.maximum.reduceat(c["known"][order], first) > 0)
+            keep[order[np.repeat(several, np.diff(np.append(first, len(order))))]] = True
+        at = np.flatnonzero(keep)
+        return _rows(_split(c["tag"][at] % groups, {n: c[n][at] for n in ("high", "low", "tag", "start", "windows")}, 0))
+
+    return run
+
+
+def _row_of(tags: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Row of each tag among ``have``: the first where rows repeat; -1 if there is none."""
     order = np.argsort(have, kind="stable")
-    want = key(id_a, tag_a)
-    at = np.minimum(np.searchsorted(have[order], want), len(order) - 1)
-    return np.where(have[order[at]] == want, order[at], -1)
+    at = np.minimum(np.searchsorted(have[order], tags), len(order) - 1)
+    return np.where(have[order[at]] == tags, order[at], -1)
 
 
 def _cut_out(shards: int):
@@ -199,7 +203,9 @@ def _cut_out(shards: int):
         group = int(key[0].as_py())
         data, offsets = utf8(docs["text"])
         c = unpack_arrays(marks["blob"])
-        row = _row_of(c["id"], c["tag"], _long(docs["id"]), _long(docs["tag"]))
+        c["code"] = (c.pop("high").astype(_U) << _U(16)) | c.pop("low")
+        row = _row_of(c["tag"], _long(docs["tag"]))
+        c["id"] = _long(docs["id"])[row]
         order = np.argsort(row, kind="stable")
         order = order[row[order] >= 0]
         c = {n: v[order] for n, v in c.items()}
@@ -219,7 +225,7 @@ def _cut_out(shards: int):
         least = np.minimum.reduceat(c["id"][order], first) if len(order) else c["id"]
         mine = np.repeat(least, counts) == c["id"][order]
         gone = order[~mine]
-        out = [(0, group, pack_arrays(id=c["id"][gone], tag=c["tag"][gone], start=c["start"][gone], size=size[gone].astype(np.int32)))] if len(gone) else []
+        out = [(0, group, pack_arrays(tag=c["tag"][gone], start=c["start"][gone], size=size[gone].astype(np.int32)))] if len(gone) else []
         unit = np.repeat(np.arange(len(first)), counts)[mine]
         head, stay = order[first], order[mine]
         shard = (mix(c["code"]) % _U(shards)).astype(np.int64)
@@ -238,15 +244,19 @@ def _cut_out(shards: int):
             o = occ_row[x:y]
             out.append((1, int(shard[h[0]]), pack_arrays(
                 text=data[index], windows=c["windows"][h], code=code[h], anchor=c["code"][h], least=least[by_shard[a:b]],
-                occ=(occ_unit[x:y] - a).astype(np.int32), id=c["id"][o], tag=c["tag"][o], start=c["start"][o], group=np.full(y - x, group, np.int64),
+                occ=(occ_unit[x:y] - a).astype(np.int32), id=c["id"][o], tag=c["tag"][o], start=c["start"][o],
             )))
         return _rows(out)
 
     return run
 
 
-def _settle(table: pa.Table) -> pa.Table:
+def _settle(groups: int):
     """Step 3, by shard: spans to remove (kind 0, by group)."""
+    return lambda table: _spans(table, groups)
+
+
+def _spans(table: pa.Table, groups: int) -> pa.Table:
     c = unpack_arrays(table["blob"], {"occ": "windows"})
     windows = c["windows"].astype(np.int64)
     size = windows + LENGTH - 1
@@ -286,7 +296,7 @@ def _settle(table: pa.Table) -> pa.Table:
     row = np.concatenate((full, who))
     start = np.concatenate((c["start"][full], c["start"][who] + span_from[which]))
     length = np.concatenate((size[head][of[full]], span_size[which]))
-    return _rows(_split(c["group"][row], {"id": c["id"][row], "tag": c["tag"][row], "start": start.astype(np.int32), "size": length.astype(np.int32)}, 0))
+    return _rows(_split(c["tag"][row] % groups, {"tag": c["tag"][row], "start": start.astype(np.int32), "size": length.astype(np.int32)}, 0))
 
 
 def _covered(spans: pa.Table, docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,13 +305,13 @@ def _covered(spans: pa.Table, docs: pa.Table) -> tuple[np.ndarray, np.ndarray, n
     covered = np.zeros(len(data), bool)
     if spans.num_rows and len(data):
         c = unpack_arrays(spans["blob"])
-        ids, tags = _long(docs["id"]), _long(docs["tag"])
-        row = _row_of(c["id"], c["tag"], ids, tags)
+        tags = _long(docs["tag"])
+        row = _row_of(c["tag"], tags)
         start = offsets[row] + c["start"]
         edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + c["size"], minlength=len(data) + 1)
         covered = np.cumsum(edge)[: len(data)] > 0
-        first = _row_of(ids, tags, ids, tags)
-        for r in np.flatnonzero(first != np.arange(len(ids))):  # identical rows: spans came back to the first
+        first = _row_of(tags, tags)
+        for r in np.flatnonzero(first != np.arange(len(tags))):  # identical rows: spans came back to the first
             covered[offsets[r] : offsets[r + 1]] = covered[offsets[first[r]] : offsets[first[r] + 1]]
     return data, offsets, covered
 
@@ -333,8 +343,9 @@ def _cleaner(column: str, names: list[str]):
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, groups: int, *more: Column) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_LAST))).alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"), *more)
-    return rows.withColumn("group", F.pmod(F.xxhash64("id", "tag"), F.lit(groups)))
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_LAST)))
+    rows = docs.select(own.alias("id"), F.xxhash64(own, F.col(text)).alias("tag"), F.col(text).alias("text"), *more)
+    return rows.withColumn("group", F.pmod("tag", F.lit(groups)))
 
 
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
@@ -343,14 +354,14 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
     buckets, groups, shards = (max(1, -(-int(size) // per)) for per in (BUCKET_BYTES, GROUP_BYTES, SHARD_BYTES))
     rows = _keyed(docs, doc_id, text, groups)
-    tested = rows.select("id", "tag", "group", "text").mapInArrow(_anchors(buckets), _BLOB)
-    shared = cut(tested.groupBy("key").applyInArrow(_shared, _BLOB), "anchors")
+    tested = rows.select("tag", "text").mapInArrow(_anchors(buckets), _BLOB)
+    shared = cut(tested.groupBy("key").applyInArrow(_shared(groups), _BLOB), "anchors")
     tidy(spark)
     marks = shared.select(F.col("key").alias("group"), "blob")
     found = marks.groupBy("group").cogroup(rows.groupBy("group")).applyInArrow(_cut_out(shards), _BLOB)
     found = cut(found, "segments")
     tidy(spark)
-    settled = cut(found.filter("kind = 1").groupBy("key").applyInArrow(_settle, _BLOB), "spans")
+    settled = cut(found.filter("kind = 1").groupBy("key").applyInArrow(_settle(groups), _BLOB), "spans")
     tidy(spark)
     spans = found.filter("kind = 0").unionByName(settled).select(F.col("key").alias("group"), "blob")
     return spans, groups
