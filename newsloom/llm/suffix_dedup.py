@@ -37,7 +37,7 @@ from newsloom.llm.text_arrays import mix, powers, slices, utf8
 LENGTH = 50
 ANCHOR = 20
 BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 GROUP_BYTES = 8 << 20
 SHARD_BYTES = 2 << 20
 _LONGEST_RUN = 256
@@ -243,7 +243,7 @@ def _cut_out(shards: int):
             index = np.arange(ends[-1]) - np.repeat(ends - width, width) + np.repeat(place[h], width)
             o = occ_row[x:y]
             out.append((1, int(shard[h[0]]), pack_arrays(
-                text=data[index], windows=c["windows"][h], code=code[h], anchor=c["code"][h], least=least[by_shard[a:b]],
+                text=data[index], windows=c["windows"][h], code=code[h], anchor=(c["code"][h] & _U(0xFFFF)).astype(np.uint16),
                 occ=(occ_unit[x:y] - a).astype(np.int32), id=c["id"][o], tag=c["tag"][o], start=c["start"][o],
             )))
         return _rows(out)
@@ -252,8 +252,8 @@ def _cut_out(shards: int):
 
 
 def _settle(groups: int):
-    """Step 3, by shard: spans to remove (kind 0, by group)."""
-    return lambda table: _spans(table, groups)
+    """Step 3, by kind and key: a shard's segments become spans to remove; spans already settled pass."""
+    return lambda key, table: _spans(table, groups) if key[0].as_py() else table.select(["kind", "key", "blob"])
 
 
 def _spans(table: pa.Table, groups: int) -> pa.Table:
@@ -261,11 +261,13 @@ def _spans(table: pa.Table, groups: int) -> pa.Table:
     windows = c["windows"].astype(np.int64)
     size = windows + LENGTH - 1
     ends = np.cumsum(size)
+    own_least = np.empty(len(windows), np.int64)
+    own_least[c["occ"]] = c["id"]  # a group sends the occurrences of its smallest document only
     order, first = _runs(windows, c["anchor"], c["code"])
     counts = np.diff(np.append(first, len(order)))
     distinct = np.empty(len(order), np.int64)
     distinct[order] = np.repeat(np.arange(len(first)), counts)
-    least = np.minimum.reduceat(c["least"][order], first)
+    least = np.minimum.reduceat(own_least[order], first)
     head = order[first]
     width = size[head] + 1
     stop = np.cumsum(width)
@@ -359,12 +361,9 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     tidy(spark)
     marks = shared.select(F.col("key").alias("group"), "blob")
     found = marks.groupBy("group").cogroup(rows.groupBy("group")).applyInArrow(_cut_out(shards), _BLOB)
-    found = cut(found, "segments")
+    spans = cut(found.groupBy("kind", "key").applyInArrow(_settle(groups), _BLOB), "spans")
     tidy(spark)
-    settled = cut(found.filter("kind = 1").groupBy("key").applyInArrow(_settle(groups), _BLOB), "spans")
-    tidy(spark)
-    spans = found.filter("kind = 0").unionByName(settled).select(F.col("key").alias("group"), "blob")
-    return spans, groups
+    return spans.select(F.col("key").alias("group"), "blob"), groups
 
 
 def _finish(docs: DataFrame, doc_id: str, text: str, fn: Callable, schema, *more: Column) -> DataFrame:
