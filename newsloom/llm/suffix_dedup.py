@@ -309,9 +309,14 @@ def _covered(spans: pa.Table, docs: pa.Table) -> tuple[np.ndarray, np.ndarray, n
         c = unpack_arrays(spans["blob"])
         tags = _long(docs["tag"])
         row = _row_of(c["tag"], tags)
-        start = offsets[row] + c["start"]
-        edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + c["size"], minlength=len(data) + 1)
-        covered = np.cumsum(edge)[: len(data)] > 0
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        start, size = offsets[row] + c["start"][order], c["size"][order]
+        for r0, r1 in slices(offsets):
+            a, b = np.searchsorted(row, (r0, r1))
+            low, n = offsets[r0], offsets[r1] - offsets[r0] + 1
+            edge = np.bincount(start[a:b] - low, minlength=n) - np.bincount(start[a:b] + size[a:b] - low, minlength=n)
+            covered[low : offsets[r1]] = np.cumsum(edge)[:-1] > 0
         first = _row_of(tags, tags)
         for r in np.flatnonzero(first != np.arange(len(tags))):  # identical rows: spans came back to the first
             covered[offsets[r] : offsets[r + 1]] = covered[offsets[first[r]] : offsets[first[r] + 1]]
@@ -321,20 +326,20 @@ def _covered(spans: pa.Table, docs: pa.Table) -> tuple[np.ndarray, np.ndarray, n
 def _digests(key: tuple, spans: pa.Table, docs: pa.Table) -> pa.Table:
     data, offsets, covered = _covered(spans, docs)
     n = np.diff(offsets)
-    total = np.concatenate(([0], np.cumsum(covered)))
+    total = np.concatenate(([0], np.cumsum(covered, dtype=np.int32))).astype(np.int32)
     rise = covered & ~np.concatenate(([False], covered[:-1]))
     at = offsets[:-1][n > 0]
     rise[at] = covered[at]
-    rises = np.concatenate(([0], np.cumsum(rise)))
+    rises = np.concatenate(([0], np.cumsum(rise, dtype=np.int32))).astype(np.int32)
     kept = [hashlib.sha256(data[a:b][~covered[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     ids = docs["doc_id"]
-    return pa.table({"doc_id": ids, "n_bytes": n, "n_removed": total[offsets[1:]] - total[offsets[:-1]], "n_spans": rises[offsets[1:]] - rises[offsets[:-1]], "kept_sha256": kept})
+    return pa.table({"doc_id": ids, "n_bytes": n, "n_removed": (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64), "n_spans": (rises[offsets[1:]] - rises[offsets[:-1]]).astype(np.int64), "kept_sha256": kept})
 
 
 def _cleaner(column: str, names: list[str]):
     def run(key: tuple, spans: pa.Table, docs: pa.Table) -> pa.Table:
         data, offsets, covered = _covered(spans, docs)
-        total = np.concatenate(([0], np.cumsum(covered)))
+        total = np.concatenate(([0], np.cumsum(covered, dtype=np.int32)))
         texts = docs["text"].to_pylist()
         for r in np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]]):
             a, b = offsets[r], offsets[r + 1]
