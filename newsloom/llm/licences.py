@@ -10,6 +10,7 @@ matches; equal coefficients are settled by the name; repeated ids are scanned ro
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator, Mapping
 
@@ -23,23 +24,66 @@ from newsloom.llm.text_arrays import alnum_table, mix, slices, span_hashes, utf8
 
 THRESHOLD = 0.75
 
-#: Notices by which texts usually name their licence.
-TEMPLATES: dict[str, str] = {
+#: Whole licence bodies, letter for letter as published, in ``licence_texts``.
+BODIES = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+
+
+def _gnu(kind: str, licence: str, mark: str, version: str, mark_2: str, last: str) -> tuple[str, str]:
+    """First paragraph and whole of a GNU header."""
+    first = f"This {kind} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {licence} as published by the Free Software Foundation{mark_2} either version {version} of the License, or (at your option) any later version."
+    warranty = f"This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {licence} for more details."
+    return first, f"{first} {warranty} You should have received a copy of the GNU {licence} along with this {kind}{last}"
+
+
+_WRITE_TO = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_SEE = ". If not, see <https://www.gnu.org/licenses/>."
+_HEADERS = {
+    "AGPL-3.0": _gnu("program", "Affero General Public License", ":", "3", ",", _SEE),
+    "GPL-2.0": _gnu("program", "General Public License", ";", "2", ";", _WRITE_TO),
+    "GPL-3.0": _gnu("program", "General Public License", ":", "3", ",", _SEE),
+    "LGPL-2.1": _gnu("library", "Lesser General Public License", ";", "2.1", ";", _WRITE_TO),
+    "LGPL-3.0": _gnu("library", "Lesser General Public License", ";", "3", ";", _SEE),
+}
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+
+
+def _body(name: str) -> str:
+    return pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()
+
+
+#: Notices by which texts usually name their licence.  A paragraph that several licences share is an "any" template.
+_NOTICES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Apache-2.0 header": _APACHE,
+    "Apache-2.0 whole header": _APACHE + " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-3-Clause clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
-    "MIT header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "MIT permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Reserved": "All rights reserved.",
+    "Unlicense notice": "This is free and unencumbered software released into the public domain.",
+    "any BSD conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+}
+
+#: All templates, each on one line and with blanks for apostrophes, which cut words just as blanks do.
+TEMPLATES: dict[str, str] = {
+    name: " ".join(text.replace("'", " ").split())
+    for name, text in (
+        _NOTICES
+        | {f"{k} header": first for k, (first, _) in _HEADERS.items()}
+        | {f"{k} whole header": whole for k, (_, whole) in _HEADERS.items()}
+        | {f"{k} text": _body(k) for k in BODIES}
+    ).items()
 }
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -62,3 +62,22 @@ def test_licences_by_brute_force(spark):
     for i, line in enumerate(lines):
         own = licences.bigrams(line.encode())
         assert got[i] == sum(licences.dice(own, s) >= licences.THRESHOLD for s in sets), line
+
+
+def test_whole_licences_are_found_under_their_own_names(spark):
+    """Bodies and headers as published, line by line as in a file, with an owner's line before and code behind."""
+    mit = licences._body("MIT").split("\n\n")[2]
+    lgpl = "\n".join(x.strip() for x in licences._body("LGPL-2.1").split("\n")[475:479])
+    gpl = "\n".join(x.strip() for x in licences._body("GPL-3.0").split("\n")[636:648])
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    isc = licences._body("ISC").split("\n\n")[2]
+    agpl = gpl.replace("GNU General", "GNU Affero General")
+    cases = [(f"Copyright 2020 Owner\n\n{licences._body(k)}", f"{k} text") for k in licences.BODIES]
+    cases += [(gpl, "GPL-3.0 whole header"), (agpl, "AGPL-3.0 whole header")]
+    cases += [(f"/*\n{x}\n*/\n\nint main() {{ return 0; }}\n", n) for x, n in ((mit, "MIT permission"), (mpl, "MPL-2.0 header"), (lgpl, "LGPL-2.1 header"), (isc, "ISC permission"))]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(df).collect()}
+    for i, (_, name) in enumerate(cases):
+        assert name in got[i]["licences"].split(","), (name, got[i])
+        if not name.endswith(" text"):
+            assert got[i]["best_licence"].split()[0] == name.split()[0] and got[i]["best_dice"] > 0.95, (name, got[i])
