@@ -165,9 +165,9 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).filter("doc_id = other")
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
     )
-    size = sets.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("n").alias("all"), F.when(F.count(F.lit(1)) == 1, F.min("bits")).alias("bits"))
-    # A document with several texts keeps the loosest bounds: its largest n against all its shared shingles, no map.
-    facts = size.join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.least("n", F.col("all") - F.coalesce("lone", F.lit(0))).alias("c"), "bits")
+    size = sets.groupBy("doc_id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.sum("n").alias("all"), F.when(F.count(F.lit(1)) == 1, F.min("bits")).alias("bits"))
+    # A document with several texts keeps the loosest bounds: its smallest n against all its shared shingles, no map.
+    facts = size.join(lone, "doc_id", "left").select(F.col("doc_id").alias("rep"), "n", F.least("most", F.col("all") - F.coalesce("lone", F.lit(0))).alias("c"), "bits")
     facts = cut(facts, "facts")
     maps = facts.select("rep", "bits")
     member = cut(inside.join(facts.select("rep", "n", "c"), "rep").select("bucket", "rep", "n", "c"), "members")
@@ -198,11 +198,16 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str
     late = cut(_confirmed(more, sets, percent), "late")
     if late.isEmpty():
         return roots
+    return _joined(roots, late)
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) after more edges (a, b)."""
     known = roots.select(F.col("node").alias("_k"), F.col("root").alias("_r"))
-    lifted = late.join(known, late.a == known["_k"], "left").select(F.coalesce("_r", "a").alias("a"), "b")
+    lifted = edges.join(known, edges.a == known["_k"], "left").select(F.coalesce("_r", "a").alias("a"), "b")
     lifted = lifted.join(known, lifted.b == known["_k"], "left").select("a", F.coalesce("_r", "b").alias("b"))
     above = connected_components(lifted).select(F.col("node").alias("_k"), F.col("root").alias("_r"))
-    joined = roots.unionByName(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    joined = roots.unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
     return joined.join(above, joined.root == above["_k"], "left").select("node", F.coalesce("_r", "root").alias("root"))
 
 
@@ -212,11 +217,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = ["n_shingles", "f1", "f2"]
     classes = cut(signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "classes")
     roots = links(docs, classes, doc_id, text, percent)
+    # Ids with different texts, and the classes of each: all are one document.
+    differs = [F.min(k) != F.max(k) for k in key]
+    several = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((differs[0] | differs[1] | differs[2]).alias("_differ")).filter("_differ").select("doc_id")
+    own = signed.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes.select(*key, "rep"), key)
+    own = cut(own.select("doc_id", "rep").distinct(), "own")
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    edges = cut(own.join(first, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct(), "own_edges")
+    if not edges.isEmpty():
+        roots = cut(_joined(roots, edges), "roots")
     named = classes.select(*[F.col(k).alias(f"_{k}") for k in key], "rep")
     named = named.join(roots, named.rep == roots.node, "left").select(*[f"_{k}" for k in key], F.coalesce("root", "rep").alias("component"))
-    # Texts of one id: the smallest component any of them reaches.
     joined = signed.select("doc_id", *key).join(named, [F.col(k) == F.col(f"_{k}") for k in key], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    # A text without shingles goes with the other texts of its id.
+    by_id = first.join(roots, first.a == roots.node, "left").select(F.col("doc_id").alias("_id"), F.coalesce("root", "a").alias("_of_id"))
+    joined = joined.join(by_id, joined.doc_id == by_id["_id"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.coalesce("_of_id", "doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

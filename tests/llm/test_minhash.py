@@ -60,3 +60,23 @@ def test_chains_and_families_against_all_pairs(spark):
             rows.append((rng.randrange(10**9), " ".join(copy)))
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == components(rows)
+
+
+def test_an_id_with_different_texts_is_one_document(spark):
+    """Links of every text count for the id, whatever the sizes, and join what hangs on its other texts."""
+    text = lambda name, n: [f"{name}{i}" for i in range(n)]
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a, b, c, d = text("a", 54), text("b", 504), text("c", 80), text("d", 80)
+    rows = [(3, " ".join(a)), (5, near(a)), (5, " ".join(b)), (9, near(b)), (5, ""), (20, " ".join(c)), (21, " ".join(c)), (21, " ".join(d)), (22, " ".join(d)), (23, near(d))]
+    want = components(rows)
+    # Equal texts of two classes under one id: components() sees them through the id itself.
+    assert want == {3: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20, 23: 20}
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]), r
+
+
+def test_nasty_documents_without_exemption(nasty):
+    want = components(nasty_texts())
+    assert all(r["component_id"] == want[r["doc_id"]] for r in minhash.near_duplicates(nasty).collect() if r["doc_id"] is not None)
