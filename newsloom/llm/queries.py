@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, licences, line_dedup, lm_score, minhash, packing, quality, suffix_dedup, token_counts, warc
+from newsloom.llm import decontaminate, licences, line_dedup, lm_score, minhash, packing, quality, spelling, suffix_dedup, token_counts, token_files, vector_codes, warc
 from newsloom.llm.common import prepare, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lm_score")
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants", spelling.ORACLE_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", vector_codes.ORACLE_SQL)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
