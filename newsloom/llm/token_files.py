@@ -17,7 +17,7 @@ which is no white space, or at a comma or full stop that follows a letter or dig
 such a place, and none looks back, so the ids of a text are those of its chunks, one after the other (tested on whole texts).
 
 Defined results: a null or empty text is one end id; text that spells a special token is ordinary text; repeated ids are
-ordered by their text, and equal rows keep one entry each; null ids come last; an empty table writes an empty manifest and
+ordered by a hash of their text, then the text, and equal rows keep one entry each; null ids come last; an empty table writes an empty manifest and
 reads as no rows.
 """
 
@@ -210,11 +210,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, d
     """Write the files of all documents below ``folder`` (shared, new) and return the manifest; 0 shards: as many as the size asks for."""
     spark = docs.sparkSession
     kind = "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-    order = (F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Bounds of the ranges are sampled on the driver, so they hold a hash in place of the text.
+    keys = (F.col("doc_id").asc_nulls_last(), F.col("h"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    placed = (rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    placed = (rows.repartitionByRange(shards, *keys) if shards else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys, "text").select("doc_id", "text")
     made = cut(placed.mapInArrow(_write_shard(folder, vocabulary, end_id, kind), _SHARD), "shards")
     # One row per partition that held documents: the prefix sums run over these only.
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
