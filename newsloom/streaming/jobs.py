@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from newsloom import fixed_values as fv
 from newsloom.functions import times
-from newsloom.operators import entries
-from newsloom.operators.skew import previous_value
-from newsloom.operators.stories import WINDOW, headline_stories, reviewed_anchor_hits
-from newsloom.session import cut
+from newsloom.operators.stories import WINDOW
+from newsloom.streaming.keyed import LastDigest, RejectionMemory, StoryAnchors, VersionMemory
 from newsloom.streaming.state import BatchTable, run_to_end
 
 
@@ -25,122 +24,75 @@ def distinct_version_stream(stream: DataFrame, now: Column, lookback_days: int =
     return fresh.withWatermark("published", f"{lookback_days} days").dropDuplicatesWithinWatermark(["entry_id", "fingerprint"])
 
 
-VERSION = T.StructType(
-    [
-        T.StructField("entry_id", T.StringType()),
-        T.StructField("fingerprint", T.StringType()),
-        T.StructField("card_id", T.StringType()),
-        T.StructField("observed", T.StringType()),
-        T.StructField("revision_of", T.StringType()),
-    ]
-)
+def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, folder: str, delay_days: int | None) -> DataFrame:
+    """Run rows with ``published`` through the state of their key to the end of what is available; the rows put out so far."""
+    if delay_days is not None:
+        stream = stream.withWatermark("published", f"{delay_days} days")
+    out = stream.groupBy(key).transformWithStateInPandas(processor, schema, "append", "None" if delay_days is None else "EventTime")
+    return stream.sparkSession.read.schema(schema).parquet(run_to_end(out, folder))
 
 
-def new_versions_job(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
-    """Every unseen version with the card it revises, exactly once over any number of micro-batches."""
-    table = BatchTable(spark, f"{folder}/versions", VERSION)
+def _timed(stream: DataFrame, *columns: str | Column) -> DataFrame:
+    return stream.select(*columns, F.unix_micros("published").alias("t"), "published")
 
-    def on_batch(batch: DataFrame, number: int) -> None:
-        known = table.before(number)
-        staged = batch.withColumn("_t", times.micros("published"))
-        unique = entries.distinct_versions(staged, [-F.col("_t"), F.col("event_id")], ["event_id", "published"])
-        fresh = entries.revisions(unique, known.select("entry_id", "fingerprint", "card_id", "observed"))
-        rows = fresh.withColumns(
-            {
-                "card_id": F.col("event_id").cast("string"),
-                "observed": F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-            }
-        )
-        table.write(rows, number)
 
-    run_to_end(stream, folder, on_batch)
-    return table.all()
+def new_versions_job(stream: DataFrame, folder: str, keep_days: int = fv.RETENTION_DAYS, delay_days: int = fv.LOOKBACK_DAYS) -> DataFrame:
+    """id, fingerprint, t, revision_of: every unseen version of an entry with the version it revises, exactly once.
 
-
-REJECTED = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("day", T.DateType())])
-PASSED = T.StructType([T.StructField("event_id", T.LongType())])
+    ``stream``: id (long), entry_id, fingerprint, published.
+    """
+    schema = "id long, fingerprint string, t long, revision_of long"
+    return _keyed(_timed(stream, "id", "entry_id", "fingerprint"), "entry_id", VersionMemory(keep_days), schema, folder, delay_days)
 
 
-def rejection_memory_job(spark: SparkSession, stream: DataFrame, folder: str, rejected: Column, now: Column) -> DataFrame:
-    """Entries that pass, skipping ids rejected in the last 14 days.
+def rejection_memory_job(stream: DataFrame, folder: str, days: int = fv.REJECTED_MEMORY_DAYS, delay_days: int = fv.LOOKBACK_DAYS) -> DataFrame:
+    """ids that pass: entries whose key was not turned down in the ``days`` days before.
 
-    Rejections are remembered by day; a memory older than the window no longer holds an id back.
+    ``stream``: id (long), key, rejected, published.
     """
-    memory = BatchTable(spark, f"{folder}/rejected", REJECTED)
-    passed = BatchTable(spark, f"{folder}/passed", PASSED)
+    return _keyed(_timed(stream, "id", "key", "rejected"), "key", RejectionMemory(days), "id long", folder, delay_days)
 
-    def on_batch(batch: DataFrame, number: int) -> None:
-        turned = batch.filter(rejected).groupBy("user_id").agg(F.to_date(F.max("published")).alias("day"))
-        written = memory.write(turned, number)
-        live = entries.remembered_rejections(memory.before(number).unionByName(written), now)
-        passed.write(entries.new_only(batch.filter(~rejected), live, "user_id"), number)
 
-    run_to_end(stream, folder, on_batch)
-    return passed.all()
+def story_job(stream: DataFrame, folder: str, window: int = WINDOW, delay_days: int = fv.LOOKBACK_DAYS) -> DataFrame:
+    """(id, story) of headlines over micro-batches: anchors of earlier batches first, then new ones.
 
-
-ANCHOR = T.StructType(
-    [
-        T.StructField("head", T.StringType()),
-        T.StructField("t", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("story", T.LongType()),
-    ]
-)
-MEMBER = T.StructType([T.StructField("id", T.LongType()), T.StructField("story", T.LongType())])
+    Batches in time order give the result of one batch.  A late card joins an anchor within the window
+    on either side, as in the batch rule, and never moves an anchor that was already published.
+    ``stream``: id (long), head, published.
+    """
+    return _keyed(_timed(stream, "id", "head"), "head", StoryAnchors(window), "id long, story long", folder, delay_days)
 
 
-def story_job(spark: SparkSession, stream: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
-    """(id, story) of headlines over micro-batches: earlier anchors first, then new ones.
+def revision_job(stream: DataFrame, folder: str) -> DataFrame:
+    """article_id, seq, digest, outcome, previous: new, changed, duplicate or invalid against the digest before.
 
-    Batches in time order give the result of one batch.  A late card joins an anchor within the window
-    on either side, as in the batch rule, and never moves an anchor that was already published.
+    ``stream``: article_id, seq (long), digest.
     """
-    anchors = BatchTable(spark, f"{folder}/anchors", ANCHOR)
-    members = BatchTable(spark, f"{folder}/members", MEMBER)
+    schema = "article_id string, seq long, digest string, outcome string, previous string"
+    return _keyed(stream.select("article_id", "seq", "digest"), "article_id", LastDigest(), schema, folder, None)
 
-    def on_batch(batch: DataFrame, number: int) -> None:
-        cards = cut(batch.select("id", "head", "t"), "story-batch")
-        listed = anchors.before(number)
-        hits = cut(reviewed_anchor_hits(cards, listed, window), "story-hits")
-        rest = cards.join(hits.select("id"), "id", "left_anti")
-        fresh = cut(headline_stories(rest, window=window), "story-new")
-        members.write(hits.select("id", "story").unionByName(fresh), number)
-        heads = fresh.filter(F.col("id") == F.col("story")).join(cards, "id")
-        anchors.write(heads.select("head", "t", "id", "story"), number)
 
-    run_to_end(stream, folder, on_batch)
-    return members.all()
+def latest_review_stream(stream: DataFrame) -> DataFrame:
+    """Running last decision per (event_id, revision) as a native streaming aggregate."""
+    return stream.groupBy("event_id", "revision").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
-SEEN = T.StructType(
+LATEST = T.StructType(
     [
-        T.StructField("article_id", T.StringType()),
-        T.StructField("digest", T.StringType()),
+        T.StructField("event_id", T.StringType()),
+        T.StructField("revision", T.StringType()),
+        T.StructField("status", T.StringType()),
         T.StructField("seq", T.LongType()),
-        T.StructField("outcome", T.StringType()),
     ]
 )
 
 
-def revision_job(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
-    """(article_id, digest, seq, outcome): new, changed or duplicate against the digest before it, within the
-    batch or in earlier ones."""
-    table = BatchTable(spark, f"{folder}/seen", SEEN)
+def review_job(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """The last decision per (event_id, revision): every micro-batch writes only the keys that it changed."""
+    table = BatchTable(spark, f"{folder}/latest", LATEST)
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        last = table.before(number).groupBy("article_id").agg(F.max_by("digest", "seq").alias("_last"))
-        lagged = previous_value(batch.select("article_id", "digest", "seq"), ["article_id"], [F.col("seq").asc()], "digest", "_prev")
-        j = lagged.join(last, "article_id", "left").withColumn(
-            "_base", F.when(F.col("_rank") == 1, F.col("_last")).otherwise(F.col("_prev"))
-        )
-        outcome = F.when(F.col("_base").isNull(), "new").when(F.col("_base") == F.col("digest"), "duplicate").otherwise("changed")
-        table.write(j.withColumn("outcome", outcome), number)
-
-    run_to_end(stream, folder, on_batch)
-    return table.all()
-
+        table.write(batch.withColumn("revision", F.col("revision").cast("string")), number)
 
-def latest_review_stream(stream: DataFrame) -> DataFrame:
-    """Running last decision per (event_id, revision) as a native streaming aggregate."""
-    return stream.groupBy("event_id", "revision").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+    run_to_end(latest_review_stream(stream), folder, on_batch, "update")
+    return table.all().groupBy("event_id", "revision").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))

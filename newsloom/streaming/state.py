@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,13 +54,37 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Struct
     return reader.parquet(folder)
 
 
+#: State with timers and several column families needs Spark's RocksDB store.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_to_end(stream: DataFrame, folder: str, on_batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
-    """Process everything available, then stop.  Returns the output folder."""
-    out = f"{folder}/out"
+    """Process everything available, then stop; called again, it goes on where it stopped.  Returns the output folder."""
+    out, spark = f"{folder}/out", stream.sparkSession
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if on_batch is not None:
         writer = writer.foreachBatch(on_batch)
     else:
         writer = writer.format("parquet").option("path", out)
-    writer.start().awaitTermination()
+    before = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        writer.start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE[0])
+        else:
+            spark.conf.set(_STORE[0], before)
     return out
+
+
+def arrivals(df: DataFrame, number: Column, count: int, folder: str, run: Callable[[DataFrame], object]) -> None:
+    """Let ``df`` arrive in ``count`` parts, by ``number`` from 0: each is written to a folder, then ``run`` on that folder's stream.
+
+    A run finds only the files that came since the last one, as a scheduled job does.
+    """
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.parquet(folder)
+    for i in range(count):
+        df.filter(number == i).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(df.schema).parquet(folder))
