@@ -13,6 +13,8 @@ from newsloom.plans.grouping_queries import _GATES_SQL
 from newsloom.plans.refresh import candidates
 from newsloom.plans.registry import query
 from newsloom.plans.text_queries import _PROPOSE_SQL, _RULE_SQL, _SECTORS, _base_articles
+from newsloom.streaming import refresh
+from newsloom.streaming.state import arrivals, job_folder
 
 
 def _s(c):
@@ -92,3 +94,51 @@ def made_cards(spark, sf):
     )
     out = entries.make_cards(briefed)
     return out.select("id", "date", F.col("summary.en").alias("summary"), F.col("assessment.assessable").alias("assessable"))
+
+
+#: Landings of the days 3, 6, 9 and 12; each fetches again what was published since the fourth day before.
+_LANDINGS = (3, 6, 9, 12)
+_LANDED_SQL = f"""
+WITH d AS (SELECT r.*, 1 + doc_id % 10 AS day, length(d.text) AS size, doc_id % 6 AS o FROM ({_RULE_SQL}) r JOIN documents d USING (doc_id)),
+m AS (SELECT doc_id, day, size, CASE WHEN o = 1 THEN 'filing' WHEN o = 0 AND reason = 'no material event' THEN 'release' ELSE reason END AS why, keep OR o = 1 OR (o = 0 AND reason = 'no material event') AS keep FROM d),
+l AS (SELECT doc_id, day, size, b, landed FROM m, (SELECT unnest([0, 1, 2, 3]) AS b, unnest([3, 6, 9, 12]) AS landed) WHERE keep AND day BETWEEN landed - 3 AND landed),
+f AS (SELECT *, CASE WHEN size % 7 = 0 THEN 'only edited' WHEN size % 5 = 0 THEN 'irrelevant' WHEN size % 11 = 0 THEN 'invalid' ELSE 'published' END AS outcome, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS nth FROM l)
+"""
+
+
+@query(
+    "refresh_stream",
+    _LANDED_SQL
+    + """SELECT substr(sha256('https://feed.example/' || doc_id), 1, 12) AS entry_id, outcome, b AS batch FROM f
+    WHERE (nth = 1 OR outcome = 'invalid') AND (outcome <> 'published' OR day >= 12 - 8)""",
+)
+def refresh_stream(spark, sf):
+    """Four landings through the refresh stream, the third of them run twice: what became of every entry, and when.
+
+    What is said about an item follows from its text; days older than eight days at the last landing have expired.
+    """
+
+    def brief(items):
+        size = F.length("text")
+        return items.withColumns(
+            {
+                "relevant": size % 5 != 0, "headline": F.struct(F.col("publisher").alias("en"), F.lit("标题").alias("zh")),
+                "summary": F.struct(F.when(size % 11 == 0, "").otherwise(F.col("text")).alias("en"), F.lit("摘要").alias("zh")), "gps": F.array(F.lit("alpha")),
+                "sectors": F.array().cast("array<string>"), "region": F.lit("US"), "relevance_reason": F.lit("named"), "published_basis": F.when(size % 7 == 0, "sitemap_lastmod"),
+                "source_published_at": F.when(size % 7 == 0, "2023-12-01"),
+            }
+        )
+
+    e = _feed_entries(spark, sf).drop("doc_id").withColumn("form", F.lit("8-K")).withColumn("domains", F.array(F.lit("feed.example")))
+    landing = F.explode(F.array(*[F.struct(F.lit(n).alias("arrival"), F.lit(day).alias("day")) for n, day in enumerate(_LANDINGS)]))
+    landed = e.select("*", landing.alias("l")).withColumn("landed_at", F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(days=F.col("l.day") - 1))
+    landed = landed.filter((F.col("published") <= F.col("landed_at")) & (F.col("published") > F.col("landed_at") - F.expr("INTERVAL 4 DAY")))
+    folder, job = job_folder(spark, "refresh"), []
+    arrivals(landed.withColumn("arrival", F.col("l.arrival")).drop("l"), F.col("arrival"), len(_LANDINGS), f"{folder}/in", lambda s: job.append(refresh.refresh_stream(s, folder, RULES, brief, 8)))
+    done = job[-1]
+    done.on_batch(landed.filter("l.arrival = 2").drop("l"), 2)
+    with_batch = lambda t: spark.read.parquet(t.path)
+    published = with_batch(done.cards).select(F.col("id").alias("entry_id"), F.lit("published").alias("outcome"), "batch")
+    turned = with_batch(done.rejected).select("entry_id", F.col("reason").alias("outcome"), "batch")
+    faulty = with_batch(done.invalid).select(F.col("id").alias("entry_id"), F.lit("invalid").alias("outcome"), "batch")
+    return published.unionByName(turned).unionByName(faulty).withColumn("batch", F.col("batch").cast("int"))
