@@ -16,7 +16,7 @@ def run(
     evidence: DataFrame,
     sectors: dict[str, Iterable[str]],
     run_id: str,
-    entities: list[dict] | None = None,
+    entities: DataFrame | list[dict] | None = None,
     history: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """proposals, members, decisions (ranked, with ``slot``) of one partition; labels are never read."""

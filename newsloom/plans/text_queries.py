@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from newsloom import fixed_values as fv
 from newsloom.functions import ids, identity, money, text, times
 from newsloom.operators import baseline, corpus, rules
+from newsloom.operators.entity_index import with_entities
+from newsloom.operators.skew import rank_all
 from newsloom.plans.bindings import RULES, documents, word_sql
 from newsloom.plans.registry import query, table
 
@@ -579,27 +581,48 @@ def baseline_proposals(spark, sf):
     )
 
 
-_ENTITIES = [
-    {"canonical_id": "than", "aliases": ["than"], "parent": "root", "ambiguity_rules": ["ER06"]},
-    {"canonical_id": "for_the", "aliases": ["for the", "for"], "excluded_contexts": ["ndly"]},
-    {"canonical_id": "the", "aliases": ["the"], "official_domains": ["x.example"]},
-]
+#: The dictionary of the entity query: the first word or two of every benchmark item, some of them conditional, excluded or with an official host.
+_NAMES_SQL = r"""
+SELECT item_id AS entity, row_number() OVER (ORDER BY item_id) - 1 AS place, CASE WHEN length(text) % 2 = 0 THEN w[1] || ' ' || w[2] ELSE w[1] END AS name, length(text) % 2 <> 0 AS single,
+  length(text) % 3 = 0 AS conditional, length(text) % 7 = 0 AS official, CASE WHEN length(text) % 5 = 0 THEN w[5] END AS excluded
+FROM (SELECT item_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark) WHERE len(w) >= 5
+"""
+
+
+def _names(spark, sf):
+    w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    size = F.length("text")
+    b = table(spark, sf, "benchmark").withColumn("w", w).filter(F.size("w") >= 5)
+    name = F.when(size % 2 == 0, F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).otherwise(F.get("w", F.lit(0)))
+    kinds = F.array(F.struct(F.lit("name").alias("kind"), name.alias("name")), F.struct(F.lit("excluded").alias("kind"), F.when(size % 5 == 0, F.get("w", F.lit(4))).alias("name")))
+    rows = rank_all(b, [F.col("item_id").asc()], rank_col="nth").select("item_id", "nth", (size % 3 == 0).alias("conditional"), (size % 7 == 0).alias("official"), F.explode(kinds).alias("k"))
+    return rows.filter("k.name IS NOT NULL").select(
+        F.col("item_id").cast("string").alias("entity"), (F.col("nth") - 1).alias("entity_place"), "k.kind", F.lit(0).cast("long").alias("place"), "k.name", "conditional",
+        F.lit(None).cast("string").alias("parent"), F.when(F.col("official"), F.array(F.lit("x.example"))).otherwise(F.array().cast("array<string>")).alias("domains"), F.lit("").alias("exchange"),
+    )
 
 
 @query(
     "entity_mentions",
-    f"""
-    WITH m AS (
-      SELECT doc_id, 'than' AS entity FROM documents WHERE {word_sql(['than'])} UNION ALL
-      SELECT doc_id, 'for_the' FROM documents WHERE {word_sql(['for the', 'for'])} UNION ALL
-      SELECT doc_id, 'the' FROM documents WHERE {word_sql(['the'])})
-    SELECT doc_id AS article_id, entity FROM m
+    rf"""
+    WITH n AS ({_NAMES_SQL}), x AS (
+      SELECT doc_id, text, n.*, '(?is)^(.*?(?:^|[^\p{{L}}\p{{N}}_]))' || name || '(?:[^\p{{L}}\p{{N}}_]|$)' AS pattern FROM documents, n WHERE contains(lower(text), lower(name))),
+    f AS (SELECT *, length(regexp_extract(text, pattern, 1)) AS start, start + length(name) AS stop FROM x WHERE regexp_matches(text, pattern)),
+    s AS (SELECT *, lower(coalesce(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_matches(y, pattern))[1], text)) AS around FROM f),
+    h AS (SELECT *, excluded IS NOT NULL AND regexp_matches(text, '(?is)(^|[^\p{{L}}\p{{N}}_])' || excluded || '([^\p{{L}}\p{{N}}_]|$)') AS out,
+      NOT conditional OR official OR NOT single OR {" OR ".join(f"contains(around, '{t}')" for t in fv.CREDIT_CONTEXT)} AS sure FROM s)
+    SELECT doc_id AS article_id, entity::varchar AS entity, substr(text, start + 1, length(name)) AS matched, start::int AS start, stop::int AS stop, CASE WHEN conditional THEN 'ER06/ER07/ER08' ELSE 'ER01' END AS rule,
+      official, CASE WHEN over IS NOT NULL THEN 'suppressed_by_longer_name' WHEN out THEN 'excluded' WHEN sure THEN 'resolved' ELSE 'ambiguous' END AS status, over AS suppressed_by
+    FROM (SELECT h.*, (SELECT arg_min(o.entity::varchar, o.place) FROM h o WHERE o.doc_id = h.doc_id AND o.start <= h.start AND o.stop >= h.stop AND o.stop - o.start > h.stop - h.start) AS over FROM h)
     """,
 )
 def entity_mentions(spark, sf):
-    d = documents(spark, sf)
-    hits = baseline.with_entities(d, F.col("text"), F.lit("https://x.example/a"), _ENTITIES)
-    return hits.select(F.col("doc_id").alias("article_id"), F.explode("entity_matches").alias("h")).select("article_id", F.col("h.canonical_id").alias("entity"))
+    """Every dictionary name in every text: span, rule, status and the longer name that covers it."""
+    d = documents(spark, sf).select(F.col("doc_id").alias("article_id"), "text", F.lit("https://x.example/a").alias("url"))
+    hits = with_entities(d, "article_id", "text", "url", _names(spark, sf)).select("article_id", F.explode("entity_matches").alias("h"))
+    return hits.select(
+        "article_id", F.col("h.canonical_id").alias("entity"), F.col("h.matched_text").alias("matched"), "h.start", F.col("h.end").alias("stop"), "h.rule", F.col("h.official_host").alias("official"), "h.status", "h.suppressed_by"
+    )
 
 
 @query(

@@ -221,18 +221,6 @@ def test_overlay_binds_to_exact_cards(spark):
         events.approved_members(cards.withColumn("headline_en", F.col("headline.en")), twice).collect()
 
 
-def test_entities_prefer_longer_names(spark):
-    dims = [
-        {"canonical_id": "apex", "aliases": ["Apex"], "parent": "root"},
-        {"canonical_id": "apex_income", "aliases": ["Apex Income Fund"], "parent": "apex"},
-        {"canonical_id": "nb", "aliases": ["NB"], "ambiguity_rules": ["ER07"]},
-        {"canonical_id": "tick", "aliases": ["Tick Holdings"], "ticker": {"symbol": "TCK", "exchange": "NYSE"}},
-    ]
-    df = strings(spark, ["Apex Income Fund closes. NB wins a match. TCK shares rose."])
-    got = {m["canonical_id"]: m["status"] for m in one(baseline.with_entities(df, F.col("x"), F.lit("https://n.example/"), dims))["entity_matches"]}
-    assert got == {"apex": "suppressed_by_longer_name", "apex_income": "resolved", "nb": "ambiguous", "tick": "resolved"}
-
-
 def test_ancestors_survive_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", None)], "entity string, parent string")
     got = {(r["entity"], r["ancestor"]) for r in baseline.ancestors(edges).collect()}
