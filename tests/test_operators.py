@@ -1,6 +1,7 @@
 """Truth tables and guard cases of single operators."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -123,6 +124,30 @@ def test_assessment_needs_verbatim_quotes_and_expires(spark):
     assert _class(vague, "2026-09-23T08:00:00+00:00")["reason"]["en"] == "Assessed severity: critical; linkage: direct."
 
 
+def test_assessment_members_have_their_json_type(spark):
+    """All cases in one frame: (raw, title, body, primary) to (assessable, failure, places of quotes)."""
+    quotes = _raw()["quotes"]
+    bad = "Missing or insufficient source evidence"
+    no = lambda name: f"unsupported_claim:{name}"
+    cases = [
+        (json.dumps(_raw()), True, None, 4), (json.dumps(_raw(quotes={**quotes, "linkage": ["OTF suspended withdrawals", None]})), False, no("linkage"), 1),
+        (json.dumps(_raw(quotes={**quotes, "severity": ["short"]})), False, no("severity"), 0), (json.dumps(_raw(quotes={**quotes, "severity": 7})), False, no("severity"), 0),
+        (json.dumps(_raw(quotes={**quotes, "deadline_at": "The decision deadline"})), False, bad, 3), (json.dumps(_raw(quotes=["x"])), False, bad, 0), (json.dumps(_raw(current_adverse="true")), False, bad, 0),
+        (json.dumps(_raw(current_adverse=1)), False, bad, 0), (json.dumps(_raw(deadline_at="2026-09-24")), False, bad, 0), (json.dumps(_raw(deadline_at=5)), False, bad, 0), (json.dumps(_raw(deadline_at="")), False, bad, 0),
+        (json.dumps(_raw(severity=["critical"])), False, bad, 0), (json.dumps(_raw(linkage="unknown")), False, bad, 0), (json.dumps(_raw(reason_zh="no han")), False, bad, 4), (json.dumps(_raw(reason_en="  ")), False, bad, 4),
+        (json.dumps(_raw(reason_en=None)), False, bad, 4), ("{broken", False, bad, 0), ("[1]", False, bad, 0), ("null", False, bad, 0), ('"text"', False, bad, 0), (None, False, bad, 0), ("", False, bad, 0),
+        (json.dumps(_raw(deadline_at=None, resolved=True, quotes={**quotes, "resolved": "material  liquidity"})), True, None, 4), (json.dumps({**_raw(), "more": {"a": [1]}}), True, None, 4),
+    ]
+    rows = [(i, c[0], "t", f"\u2003{TEXT} ", None) for i, c in enumerate(cases)] + [(100, cases[0][0], f" {TEXT}", TEXT, True), (101, cases[0][0], None, None, True), (102, cases[0][0], "Payment  default", "x \U0001f600 material impairment", True)]
+    df = spark.createDataFrame(rows, "i int, r string, t string, b string, p boolean")
+    got = {r["i"]: r["a"] for r in df.select("i", priority.validate_assessment("r", "t", "b", "p").alias("a")).collect()}
+    for i, (_, good, failure, places) in enumerate(cases):
+        assert (got[i]["assessable"], got[i]["failure"], len(got[i]["evidence_refs"])) == (good, failure, places), i
+        assert good or (got[i]["severity"], got[i]["reason"], got[i]["routine"]) == (None, None, None)
+    assert [got[i]["assessable"] for i in (100, 101, 102)] == [False] * 3 and got[102]["potential_urgent"] and not got[101]["potential_urgent"]
+    assert got[0]["evidence_refs"]["severity"]["start"] == TEXT.index("material liquidity") and got[0]["source_sha256"] == hashlib.sha256(TEXT.encode()).hexdigest()
+
+
 def test_pages_and_filings(spark):
     html = (
         "<html><head><title>T &amp; U</title><meta property='og:title' content='Real  title'><meta name='description' content='Lead text.'>"
