@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from newsloom.functions import ids, times
 from newsloom.functions.identity import display_tags, headline_key
 from newsloom.functions.priority import classify, rank_columns, validate_assessment
 from newsloom.functions.text import normalize_title, strip_absence
+from newsloom.operators.components import connected_components
 from newsloom.operators.matching import greedy_pairs
 from newsloom.operators.skew import attach_per_key, rank_all
 from newsloom.operators.stories import headline_stories
-from newsloom.session import cut, release
+from newsloom.session import cut, cut_with, release
 
 
 @dataclass
@@ -182,30 +184,59 @@ def merge_revisions(keyed: DataFrame) -> DataFrame:
     return attach_per_key(keyed.select("id", "bucket"), renamed, ["bucket"]).select("id", F.coalesce("final", "bucket").alias("bucket"))
 
 
+def _earliest(links: DataFrame) -> DataFrame:
+    """One link per pair of keys: once a link has acted, its keys share a name, so a later one between them does nothing."""
+    when = F.min(F.struct("at", "cid", "a", "b"))
+    pairs = links.filter("a <> b").groupBy("group", F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).agg(when.alias("w"))
+    return pairs.select("group", "w.*")
+
+
+def _pointed(pointers: DataFrame) -> DataFrame:
+    """(key, to) without cycles to (key, root), by doubling: O(log n) written rounds for chains of n."""
+    current, seen = cut_with(pointers, "pointers", n=F.count(F.lit(1)))
+    while seen["n"]:
+        onward = current.select(F.col("key").alias("_k"), F.col("to").alias("_to"))
+        following, moved = cut_with(current.join(onward, F.col("to") == F.col("_k"), "left").select("key", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")), "pointers", n=F.count_if(F.col("moved")))
+        release(current)
+        current, seen = following, moved
+    return current.select("key", "to")
+
+
 def _follow_links(links: DataFrame) -> DataFrame:
     """bucket, final: the key each linked bucket ends under when links (a -> b at time ``at``, ``cid``) act in order.
 
-    A link that is the earliest of both its keys can act at once, whatever happens elsewhere; every round takes all such
-    links.  The earliest link of all is one of them, so rounds end; chains in time order take a round per link.
+    Keys that are linked in any way end under one key, the one that never gave way.  It is found per group of linked keys:
+
+    * if no key of a group has two ways out and one has none, every other key gives way when its only link acts, so that one stays;
+    * in other groups a key whose earliest link leads away has gathered nothing by then and shares its parent's name for ever
+      after, so it is replaced by its parent in all later links.  All such keys go at once, chains of them by doubling (their times
+      fall along the chain, so there are no cycles).
+
+    Revision chains of any length thus take O(log n) rounds, whether their links act from the old end or the new one.  Only a path
+    whose links act towards its head, in a group where some key also has two ways out, takes a round per link.
     """
-    label = cut(links.select(F.explode(F.array("a", "b")).alias("bucket")).distinct().withColumn("final", F.col("bucket")), "labels")
-    rest = links
-    while True:
-        when = F.struct("at", "cid", "a", "b")
-        ends = rest.select(F.explode(F.array("a", "b")).alias("_k"), when.alias("_w"))
-        first = ends.groupBy("_k").agg(F.min("_w").alias("_w"))
-        # The earliest link of two keys at once appears twice among the firsts.
-        both = first.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2")
-        moves = cut(both.select(F.col("_w.a").alias("_from"), F.col("_w.b").alias("_to")), "moves")
-        if moves.isEmpty():
-            return label
-        moved = cut(label.join(moves, F.col("final") == F.col("_from"), "left").select("bucket", F.coalesce("_to", "final").alias("final")), "labels")
-        release(label)
-        label = moved
-        at_a = moves.select(F.col("_from").alias("_fa"), F.col("_to").alias("_ta"))
-        at_b = moves.select(F.col("_from").alias("_fb"), F.col("_to").alias("_tb"))
-        left = rest.join(at_a, F.col("a") == F.col("_fa"), "left").join(at_b, F.col("b") == F.col("_fb"), "left")
-        rest = cut(left.select(F.coalesce("_ta", "a").alias("a"), F.coalesce("_tb", "b").alias("b"), "at", "cid").filter("a <> b"), "revisions")
+    groups = cut(connected_components(links.select("a", "b")).select(F.col("node").alias("bucket"), F.col("root").alias("group")), "revision-groups")
+    rest = cut(_earliest(links.join(groups, F.col("a") == F.col("bucket")).drop("bucket")), "revisions")
+    names = []
+    while not rest.isEmpty():
+        ends = rest.select("group", F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(1).alias("out")), F.struct(F.col("b").alias("key"), F.lit(0).alias("out")))).alias("e"), F.struct("at", "cid", "a", "b").alias("w"))
+        keys = cut(ends.groupBy("group", "e.key").agg(F.sum("e.out").alias("ways"), F.min("w").alias("first")), "revision-keys")
+        shape = keys.groupBy("group").agg(F.max("ways").alias("most"), F.count_if(F.col("ways") == 0).alias("ends"), F.max(F.when(F.col("ways") == 0, F.col("key"))).alias("name"))
+        plain = cut(shape.filter("most = 1 AND ends = 1").select("group", "name"), "revision-names")
+        names.append(plain)
+        open_ = rest.join(plain.select("group"), "group", "left_anti")
+        gone = _pointed(keys.join(plain.select("group"), "group", "left_anti").filter(F.col("first.a") == F.col("key")).select("key", F.col("first.b").alias("to")))
+        away = lambda c: gone.select(F.col("key").alias(f"_{c}"), F.col("to").alias(f"_{c}to"))
+        moved = open_.join(away("a"), F.col("a") == F.col("_a"), "left").join(away("b"), F.col("b") == F.col("_b"), "left")
+        following = cut(_earliest(moved.select("group", F.coalesce("_ato", "a").alias("a"), F.coalesce("_bto", "b").alias("b"), "at", "cid")), "revisions")
+        # A group without links left has one key left: where its others went.
+        ended = open_.select("group", F.col("b").alias("key")).join(following.select("group"), "group", "left_anti").join(gone, "key", "left")
+        names.append(cut(ended.groupBy("group").agg(F.min(F.coalesce("to", "key")).alias("name")), "revision-names"))
+        release(rest)
+        release(keys)
+        rest = following
+    found = reduce(DataFrame.unionByName, names)
+    return groups.join(found, "group").select("bucket", F.col("name").alias("final"))
 
 
 def carry_event_ids(buckets: DataFrame, members: DataFrame, prior: DataFrame, reserved: DataFrame) -> DataFrame:
