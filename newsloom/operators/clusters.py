@@ -141,6 +141,22 @@ def ambiguous_roots(profile: DataFrame, members: DataFrame) -> DataFrame:
     return seen.filter(F.coalesce(unresolved, F.lit(False))).select("root").distinct()
 
 
+def partner_blocks(profile: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, type, party, free, partners): where each cluster has unresolved neighbours, and how many there.
+
+    The partners of a cluster in a block are the block's articles of other clusters; all of them if the cluster has an article
+    without vehicle there (``free``), else those without vehicle.  So this table, no longer than the list of articles and
+    parties, says who is whose partner for all clusters, and no pair is ever listed.
+    """
+    party = profile.select("article_id", "type", "vehicle", F.explode(F.array_distinct("parties")).alias("party")).join(members, "article_id")
+    own = party.groupBy("root", "type", "party").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vehicle") == "").alias("n_free"))
+    whole = own.groupBy("type", "party").agg(F.sum("n").alias("all_n"), F.sum("n_free").alias("all_free"))
+    seen = attach_per_key(own, whole, ["type", "party"])
+    free = F.col("n_free") > 0
+    partners = F.when(free, F.col("all_n") - F.col("n")).otherwise(F.col("all_free") - F.col("n_free"))
+    return seen.select("root", "type", "party", free.alias("free"), partners.alias("partners")).filter("partners > 0")
+
+
 def ambiguous_partners(profile: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, article_id) partners of the given clusters, for review screens.
 

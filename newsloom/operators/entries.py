@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import fixed_values as fv
 from newsloom.functions import ids, text, times
 from newsloom.operators.rules import RuleSet, apply_origin, rule_match
-from newsloom.operators.skew import first_by
+from newsloom.operators.skew import first_by, rank_all
 
 
 def fresh_entries(entries: DataFrame, now: Column, lookback_days: int = fv.LOOKBACK_DAYS) -> DataFrame:
@@ -85,10 +85,10 @@ def select_candidates(
     return apply_origin(tagged, tags=registrant_tags)
 
 
-def primary_first(candidates: DataFrame, n: int) -> DataFrame:
-    """The item cap of one refresh: primary records first, then newest."""
+def primary_first(candidates: DataFrame) -> DataFrame:
+    """All candidates with their ``place``: primary records first, then newest; a run with an item cap takes the first places."""
     primary = F.coalesce(F.col("origin").isin(fv.PRIMARY_ORIGINS), F.lit(False))
-    return candidates.orderBy(primary.desc(), F.col("published").desc(), F.col("url")).limit(n)
+    return rank_all(candidates, [primary.desc(), F.col("published").desc(), F.col("url").asc()], rank_col="place")
 
 
 def to_item(candidates: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fv
-from newsloom.operators.skew import attach_per_key
+from newsloom.operators.skew import attach_per_key, rank_all, running_max
 from newsloom.session import cut, release
 
 WINDOW = fv.NOVELTY_WINDOW_SECONDS * 1_000_000  # times are epoch microseconds
@@ -15,23 +15,18 @@ WINDOW = fv.NOVELTY_WINDOW_SECONDS * 1_000_000  # times are epoch microseconds
 def reviewed_anchor_hits(cards: DataFrame, anchors: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, story of cards within the window, either way, of a reviewed anchor: the first listed one.
 
-    ``cards``: id, head, t (epoch microseconds).  ``anchors``: head, t, id, story.  An interval join as an
-    equi-join: an anchor is written into the window-wide time cells before, at and after its own.
+    ``cards``: id, head, t (epoch microseconds).  ``anchors``: head, t, id, story.  That anchor is the first at or after the card's
+    time less the window, so cards and anchors of a head are laid on one line, from late to early, and every card takes the
+    last anchor passed: a range sort and a running maximum, whose blocks hand on what they carry.  No step has more rows than
+    cards and anchors, however many of either share a head.
     """
-    cell = F.floor(F.col("t") / window)
-    spots = anchors.select(
-        "head",
-        F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"),
-        F.col("t").alias("at"),
-        F.col("id").alias("aid"),
-        "story",
-    )
-    hits = (
-        cards.withColumn("cell", cell)
-        .join(spots, ["head", "cell"])
-        .filter(F.abs(F.col("t") - F.col("at")) <= window)
-    )
-    return hits.groupBy("id").agg(F.min_by("story", F.struct("at", "aid")).alias("story"))
+    spots = anchors.select("head", F.col("t").alias("pos"), F.lit(0).alias("asks"), "id", "t", "story")
+    asks = cards.select("head", (F.col("t") - window).alias("pos"), F.lit(1).alias("asks"), "id", "t", F.lit(None).cast(anchors.schema["story"].dataType).alias("story"))
+    line = spots.unionByName(asks).filter(F.col("head").isNotNull())
+    placed = rank_all(line, [F.col("pos").desc(), F.col("asks").asc(), F.col("id").desc()], ["head"], "_place")
+    passed = F.when(F.col("asks") == 0, F.struct("_place", F.col("t").alias("at"), "story"))
+    seen = running_max(placed, ["head"], "_place", passed, "_last")
+    return seen.filter((F.col("asks") == 1) & (F.col("_last.at") <= F.col("t") + window)).select("id", F.col("_last.story").alias("story"))
 
 
 def _followers(times: DataFrame, window: int) -> DataFrame:

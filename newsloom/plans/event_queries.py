@@ -89,7 +89,7 @@ def cards(spark, sf):
     """documents as cards; copies of a headline, source versions, identities and revisions all occur."""
     k = F.col("doc_id")
     d = documents(spark, sf)
-    headline = F.when(F.length("title") > 0, F.concat(F.left("title", F.lit(80)), F.when(k % 4 != 1, " Q1").otherwise(""))).otherwise("x Q2")
+    headline = F.when(F.length("title") > 0, F.concat("title", F.when(k % 4 != 1, " Q1").otherwise(""))).otherwise("x Q2")
     stamp = F.concat(_s(F.col("day")), F.lit("T0"), _s(k % 10), F.lit(":30:00+00:00"))
     ident = F.struct(
         F.lit("subject").alias("subject"), F.col("source").alias("action"), F.lit("deal").alias("object"), _s(k % 3).alias("period"),
@@ -100,7 +100,7 @@ def cards(spark, sf):
         F.col("day").alias("date"),
         F.when(k % 9 != 0, stamp).alias("published_at"),
         F.struct(headline.alias("en"), F.lit("标题").alias("zh")).alias("headline"),
-        F.struct(F.left("text", (k % 200 + 20).cast("int")).alias("en"), F.lit("摘要").alias("zh")).alias("summary"),
+        F.struct(F.col("text").alias("en"), F.lit("摘要").alias("zh")).alias("summary"),
         F.array(F.col("lang")).alias("gps"),
         F.array(F.col("source")).alias("sectors"),
         F.lit("US").alias("region"),
@@ -118,10 +118,10 @@ def cards(spark, sf):
     )
 
 
-_STRIPPED = "length(trim(left(text, (doc_id % 200 + 20)::int)))"
+_STRIPPED = "length(trim(text))"
 CARD_SQL = f"""
 c0 AS (SELECT doc_id, lpad(doc_id::varchar, 9, '0') AS id, DATE '2024-01-01' + (doc_id % 60)::int AS date, text, lang, source,
-  CASE WHEN length(split_part(text, '.', 1)) > 0 THEN left(split_part(text, '.', 1), 80) || CASE WHEN doc_id % 4 <> 1 THEN ' Q1' ELSE '' END ELSE 'x Q2' END AS h,
+  CASE WHEN length(split_part(text, '.', 1)) > 0 THEN split_part(text, '.', 1) || CASE WHEN doc_id % 4 <> 1 THEN ' Q1' ELSE '' END ELSE 'x Q2' END AS h,
   CASE WHEN doc_id % 9 <> 0 THEN strftime(DATE '2024-01-01' + (doc_id % 60)::int, '%Y-%m-%d') || 'T0' || (doc_id % 10) || ':30:00+00:00'
        ELSE strftime(DATE '2024-01-01' + (doc_id % 60)::int, '%Y-%m-%d') || 'T00:00:00+08:00' END AS stamp,
   CASE WHEN doc_id % 9 <> 0 THEN (DATE '2024-01-01' + (doc_id % 60)::int)::timestamp + INTERVAL 1 HOUR * (doc_id % 10) + INTERVAL 30 MINUTE
@@ -348,13 +348,12 @@ def archive_fingerprint(spark, sf):
 
 @query(
     "display_tags",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'parent' WHEN doc_id % 2 = 0 THEN 'child|parent' ELSE 'z' END AS tags FROM documents
-       WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""",
+    """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'parent' WHEN doc_id % 3 = 0 THEN 'z|parent' WHEN doc_id % 2 = 0 THEN 'child|parent' ELSE 'z' END AS tags FROM documents""",
 )
 def display_tags_query(spark, sf):
     k = F.col("doc_id")
     rule = [{"child": "child", "parent": "parent", "when": "Technology Income", "unless": "Technology Finance"}]
-    d = documents(spark, sf).filter((k % 3 != 0) | (k % 2 == 0))
+    d = documents(spark, sf)
     title = F.when(k % 3 == 0, "On technology income").otherwise("Other")
     tags = F.when(k % 2 == 0, F.array(F.lit("child"))).otherwise(F.array(F.lit("z")))
     return d.select("doc_id", F.array_join(display_tags(tags, title, rule), "|").alias("tags"))

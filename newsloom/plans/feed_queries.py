@@ -323,15 +323,15 @@ def feed_stats(spark, sf):
 
 @query(
     "primary_first",
-    "SELECT event_id FROM events ORDER BY event_type IN ('error', 'signup') DESC, ts DESC, event_id::varchar LIMIT 30",
+    "SELECT event_id, row_number() OVER (ORDER BY event_type IN ('error', 'signup') DESC, ts DESC, event_id::varchar) AS place FROM events",
 )
 def primary_first(spark, sf):
-    """The refresh's item cap: a top-k report."""
+    """The order in which a refresh takes its candidates."""
     e = table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_type") == "error", "regulator").when(F.col("event_type") == "signup", "issuer_filing").alias("origin"),
         F.col("ts").alias("published"), _s(F.col("event_id")).alias("url"),
     )
-    return entries.primary_first(e, 30).select("event_id")
+    return entries.primary_first(e).select("event_id", "place")
 
 
 @query(
@@ -358,8 +358,8 @@ def refresh_items(spark, sf):
     """
     SELECT doc_id, length(CASE WHEN use THEN ex ELSE line END) AS chars, CASE WHEN use THEN 'excerpt' ELSE 'headline_only' END AS evidence_level,
       CASE WHEN page THEN 'fetched' ELSE 'skipped_cap' END AS status FROM (
-      SELECT doc_id, left(text, 300) AS ex, split_part(text, '.', 1) AS line, doc_id % 3 <> 0 AS page,
-        doc_id % 3 = 1 AND length(left(text, 300)) > length(split_part(text, '.', 1)) AS use FROM documents)
+      SELECT doc_id, text AS ex, split_part(text, '.', 1) AS line, doc_id % 3 <> 0 AS page,
+        doc_id % 3 = 1 AND length(text) > length(split_part(text, '.', 1)) AS use FROM documents)
     """,
 )
 def evidence_merge(spark, sf):
@@ -368,7 +368,7 @@ def evidence_merge(spark, sf):
     items = d.select(k, F.concat(F.lit("u"), _s(k)).alias("url"), F.col("title").alias("text"))
     got = d.filter(k % 3 != 0).select(
         F.concat(F.lit("u"), _s(k)).alias("url"), F.lit("fetched").alias("status"), F.when(k % 3 == 1, "excerpt").otherwise("headline_only").alias("level"),
-        F.left("text", F.lit(300)).alias("excerpt"), F.lit("2024-01-01T00:00:00+00:00").alias("retrieved_at"), F.sha2("text", 256).alias("sha256"),
+        F.col("text").alias("excerpt"), F.lit("2024-01-01T00:00:00+00:00").alias("retrieved_at"), F.sha2("text", 256).alias("sha256"),
         F.lit(None).cast("string").alias("source_published_at"), F.col("title").alias("final_url"),
     )
     out = entries.merge_evidence(items, got)

@@ -123,13 +123,16 @@ def duplicate_articles(spark, sf):
 
 @query(
     "ambiguous_partners",
-    f"WITH RECURSIVE {VERDICT_SQL} SELECT root, partner AS article_id FROM amb WHERE root IN (SELECT root FROM ids ORDER BY size DESC, root LIMIT 5)",
+    f"""
+    WITH RECURSIVE {VERDICT_SQL}, x AS (SELECT m.root, p.id, p.type, unnest(p.parties) AS party, p.vehicle FROM p JOIN m ON m.article_id = p.id)
+    SELECT x.root, (['credit_stress', 'regulatory', 'ratings', 'other'])[x.type + 1] AS type, x.party, bool_or(x.vehicle = '') AS free, count(DISTINCT y.id) AS partners FROM x JOIN x y ON y.type = x.type AND y.party = x.party AND y.root <> x.root
+    JOIN v ON v.verdict = 'ambiguous' AND v.a = least(x.id, y.id) AND v.b = greatest(x.id, y.id) GROUP BY x.root, x.type, x.party
+    """,
 )
 def ambiguous_partners(spark, sf):
-    """Partners of the five largest clusters (a top-k review list)."""
+    """Where every ambiguous cluster has partners, and how many, without listing a pair; the SQL counts the pairs."""
     _, profile, members = _clustered(spark, sf)
-    top = members.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "root").limit(5)
-    return clusters.ambiguous_partners(profile, members, top)
+    return clusters.partner_blocks(profile, members)
 
 
 _GATES_SQL = f"""
@@ -389,10 +392,9 @@ ranked AS (SELECT b.*, b.i AS base_rank, pos.tie_rank FROM b JOIN pos USING (eve
 """
 
 
-@query("europe_tiebreak", f"WITH RECURSIVE {ORDER_SQL}, src AS (SELECT * FROM d WHERE day IS NOT NULL), {_pass_sql(['day'])} SELECT event_id, day, base_rank, tie_rank AS position FROM ranked")
+@query("europe_tiebreak", f"WITH RECURSIVE {ORDER_SQL}, src AS (SELECT * FROM d), {_pass_sql(['day'])} SELECT event_id, day, base_rank, tie_rank AS position FROM ranked")
 def europe_tiebreak(spark, sf):
-    d = order_decisions(spark, sf).filter(F.col("day").isNotNull())
-    return scoring.rank_decisions(d, ["day"]).select("event_id", "day", "base_rank", "position")
+    return scoring.rank_decisions(order_decisions(spark, sf), ["day"]).select("event_id", "day", "base_rank", "position")
 
 
 @query(

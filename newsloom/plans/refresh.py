@@ -11,8 +11,8 @@ from newsloom.operators.rules import RuleSet
 from newsloom.operators.validators import validate_cards
 
 
-def candidates(parsed: DataFrame, rules: RuleSet, cards: DataFrame, rejected: DataFrame, now: Column, cap: int | None = None) -> DataFrame:
-    """Parsed entries of all feeds to the new, rule-matched candidates, primary records first.
+def candidates(parsed: DataFrame, rules: RuleSet, cards: DataFrame, rejected: DataFrame, now: Column) -> DataFrame:
+    """Parsed entries of all feeds to the new, rule-matched candidates (:func:`entries.primary_first` orders them).
 
     ``cards`` are the published ones, ``rejected`` (entry_id, day) the ids turned down recently.
     """
@@ -21,8 +21,7 @@ def candidates(parsed: DataFrame, rules: RuleSet, cards: DataFrame, rejected: Da
         entries.remembered_rejections(rejected, now).select("entry_id")
     )
     picked = entries.select_candidates(fresh, rules, entries.known_versions(cards), known, registrant_tags="feed_tags")
-    kept = picked.filter("keep")
-    return entries.primary_first(kept, cap) if cap else kept
+    return picked.filter("keep")
 
 
 def publishable(cards: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:

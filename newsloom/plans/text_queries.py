@@ -242,7 +242,7 @@ _FILLER = (
     "ELSE ' It closed. ' END"
 )
 _STRIP_RE = fv.SUMMARY_ABSENCE_EN.replace("'", "''")
-_FILLED = f"split_part(text, '.', 1) || '.' || {_FILLER} || left(text, 200)"
+_FILLED = f"split_part(text, '.', 1) || '.' || {_FILLER} || text"
 
 
 @query(
@@ -261,7 +261,7 @@ def strip_claims(spark, sf):
         .when(k % 4 == 1, ' The terms were not disclosed! "Yes." Then ')
         .otherwise(" It closed. ")
     )
-    t = F.regexp_replace(F.concat("title", F.lit("."), filler, F.left("text", F.lit(200))), r"\s+", " ")
+    t = F.regexp_replace(F.concat("title", F.lit("."), filler, F.col("text")), r"\s+", " ")
     return documents(spark, sf).select("doc_id", text.strip_absence(t).alias("summary"))
 
 
