@@ -455,8 +455,8 @@ def spend_summary(spark, sf):
 # --- validators ------------------------------------------------------------------------------
 @query(
     "card_errors",
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'id must be 12 lowercase hex characters' END, CASE WHEN doc_id % 5 = 0 THEN 'headline needs non-empty en and zh text' END,
-      CASE WHEN lang = 'de' THEN 'unknown GP tag' END, CASE WHEN doc_id % 11 = 0 THEN 'region is not a known region' END, CASE WHEN doc_id % 13 = 0 THEN 'source.url must be http(s)' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""",
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'id:format' END, CASE WHEN doc_id % 5 = 0 THEN 'headline:language' END,
+      CASE WHEN lang = 'de' THEN 'gps:unlisted' END, CASE WHEN doc_id % 11 = 0 THEN 'region:unlisted' END, CASE WHEN doc_id % 13 = 0 THEN 'source.url:scheme' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""",
 )
 def card_errors(spark, sf):
     k = F.col("doc_id")
@@ -472,10 +472,10 @@ def card_errors(spark, sf):
 
 @query(
     "article_errors",
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'article: invalid source_kind' END,
-      CASE WHEN doc_id % 4 = 1 THEN 'article: published_at needs an ISO instant with offset' END, CASE WHEN doc_id % 4 = 3 THEN 'article: unknown precision must leave published_at null' END,
-      CASE WHEN doc_id % 6 = 0 THEN 'article: unavailable evidence cannot claim examined text' END, CASE WHEN doc_id % 7 = 0 THEN 'article: examined evidence needs evidence_hash of the actual input' END,
-      CASE WHEN doc_id % 9 = 0 THEN 'claim c1: numeric claim needs currency, unit, basis and period' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""",
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'source_kind:unlisted' END,
+      CASE WHEN doc_id % 4 = 1 THEN 'published_at:instant' END, CASE WHEN doc_id % 4 = 3 THEN 'published_at:surplus' END,
+      CASE WHEN doc_id % 6 = 0 THEN 'evidence_scope:unread' END, CASE WHEN doc_id % 7 = 0 THEN 'evidence_hash:missing' END,
+      CASE WHEN doc_id % 9 = 0 THEN 'claims:amount=c1' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""",
 )
 def article_errors(spark, sf):
     k = F.col("doc_id")
@@ -497,9 +497,9 @@ def article_errors(spark, sf):
 
 @query(
     "decision_errors",
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'decision: held_status must be exactly monitored' END, CASE WHEN doc_id % 5 = 4 THEN NULL END,
-      CASE WHEN doc_id % 9 = 0 THEN 'decision: total_score must be the deterministic sum of the six anchors' END, CASE WHEN doc_id % 11 = 0 THEN 'decision: only a recorded analyst review can approve or publish' END,
-      CASE WHEN doc_id % 10 = 0 THEN 'decision: invalid disposition_reason_codes value because' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""",
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'held_status:unlisted' END, CASE WHEN doc_id % 5 = 4 THEN NULL END,
+      CASE WHEN doc_id % 9 = 0 THEN 'total_score:sum' END, CASE WHEN doc_id % 11 = 0 THEN 'publication.status:unreviewed' END,
+      CASE WHEN doc_id % 10 = 0 THEN 'disposition_reason_codes:unlisted=because' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents""",
 )
 def decision_errors(spark, sf):
     p, _ = proposals(spark, sf)
