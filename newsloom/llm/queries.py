@@ -45,7 +45,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_dedup", line_dedup.ORACLE_SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.by_document(table(spark, sf_dir, "documents"))
+    return line_dedup.by_document(table(spark, sf_dir, "documents"), sentences=True, min_words=line_dedup.SENTENCE_WORDS)
 
 
 _WARC_SQL = """

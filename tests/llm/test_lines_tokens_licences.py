@@ -24,6 +24,25 @@ def test_paragraph_units(spark):
     assert got == {1: "", 2: "0-5"}
 
 
+def test_sentence_units_find_passages_inside_lines(spark):
+    shared = "The agreed passage has more than eight words in it. And a second sentence of it is just as long as this!"
+    df = spark.createDataFrame([(1, f"Own start here. {shared} End."), (2, f"Other words.\n{shared}\nYes. No. Yes."), (3, "Yes. No. Yes."), (4, f"A. {shared.lower()}  Z")], "doc_id long, text string")
+    assert [r["n_removed"] for r in line_dedup.by_document(df).sort("doc_id").collect()] == [0, 0, 1, 0]
+    got = {r["doc_id"]: r for r in line_dedup.by_document(df, sentences=True, min_words=8).collect()}
+    assert {k: (r["n_units"], r["n_removed"]) for k, r in got.items()} == {1: (2, 0), 2: (2, 2), 3: (0, 0), 4: (2, 2)}
+    assert got[2]["removed_spans"] == "13-64,65-117"
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(df, sentences=True, min_words=8).collect()}
+    assert texts[1] == df.filter("doc_id = 1").first()["text"] and texts[2] == "Other words.\nYes. No. Yes." and texts[4] == "A.  Z"
+
+
+def test_a_long_text_is_read_whole(spark):
+    body = " ".join(f"Sentence number {k} of the long text has its own words." for k in range(400_000))
+    df = spark.createDataFrame([(1, body), (2, body[-5_000:])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.by_document(df, sentences=True, min_words=8).collect()}
+    assert len(body) > 20_000_000 and got[1]["n_units"] == 400_000 and got[1]["n_removed"] == 0
+    assert got[2]["n_removed"] >= got[2]["n_units"] - 1 > 80
+
+
 def test_tokens_add_up(nasty, nothing):
     encoding, lengths = token_counts.encoder(token_counts.VOCABULARY)
     for rule in token_counts.RULES:
