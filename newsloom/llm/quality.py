@@ -6,7 +6,7 @@ one output row, repeated ids included; other columns of the input are ignored, w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from newsloom.llm.common import space_words
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
+#: Lines a text must have before its repeated lines are judged; a passage that a short text holds twice is no sign of boilerplate.
+LEAST_LINES = 6
 SYMBOLS = "[#*$%&|<>]"
 STOP_WORDS = (
     "the be to of and that have with in is it for on was as by at this are an from or "
@@ -40,12 +42,12 @@ RULES: tuple[Rule, ...] = (
     Rule("symbols", "symbol_ratio", None, 0.1),
     Rule("shouting", "exclamation_ratio", None, 0.3),
     Rule("stop_words", "stop_word_ratio", 0.015, None),
-    Rule("duplicate_lines", "dup_line_ratio", None, 0.3),
+    Rule("duplicate_lines", "dup_line_char_ratio", None, 0.3),
     Rule("ellipsis_lines", "ellipsis_line_ratio", None, 0.5),
     Rule("bullet_lines", "bullet_line_ratio", None, 0.9),
 )
 
-_LONGS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_exclamations", "n_ellipsis_lines", "n_bullet_lines")
+_LONGS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "line_chars", "dup_line_chars", "n_repeat_words", "n_stop_words", "n_exclamations", "n_ellipsis_lines", "n_bullet_lines")
 
 
 def repeat_words(words: Column) -> Column:
@@ -80,43 +82,54 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(F.element_at(F.transform(F.array(words), from_words), 1))
 
 
+def _lines(body: Column) -> Column:
+    return F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _counts(body: Column, words: Column, lines: Column) -> list[Column]:
+    stop = sorted({v for w in STOP_WORDS for v in (w, w.capitalize())})
+    chars = lambda x: F.char_length(F.concat_ws("", x))
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": chars(words),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "line_chars": chars(lines),
+        "dup_line_chars": chars(lines) - chars(F.array_distinct(lines)),
+        "n_repeat_words": repeat_words(words),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stop))),
+        "n_exclamations": F.regexp_count(body, F.lit("!+")),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
+        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•·]"))),
+    }
+    return [counts[n].cast("long").alias(n) for n in _LONGS]
+
+
 def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Counts of every row; columns named in ``keep`` come along, and only those."""
     body = F.coalesce(F.col(text), F.lit(""))
-    cut_up = docs.select(*[F.col(c) for c in keep], body.alias("_body"), space_words(body).alias("_w"), F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
-    stop = sorted({v for w in STOP_WORDS for v in (w, w.capitalize())})
-    return cut_up.select(
-        *[F.col(c) for c in keep],
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
-        F.regexp_count("_body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_w", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
-        F.regexp_count("_body", F.lit("!+")).cast("long").alias("n_exclamations"),
-        F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter("_l", lambda x: x.rlike(r"^\s*[-*•·]"))).cast("long").alias("n_bullet_lines"),
-    )
-
-
-def _metrics() -> dict[str, Column]:
-    per_word = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
-    per_line = lambda c: F.col(c) / F.greatest("n_lines", F.lit(1))
+    cut_up = docs.select(*[F.col(c) for c in keep], body.alias("_body"), space_words(body).alias("_w"), _lines(body).alias("_l"))
+    return cut_up.select(*[F.col(c) for c in keep], *_counts(F.col("_body"), F.col("_w"), F.col("_l")))
+
+
+def _metrics(of: Callable[[str], Column]) -> dict[str, Column]:
+    per_word = lambda c: of(c) / F.greatest(of("n_words"), F.lit(1))
+    per_line = lambda c: of(c) / F.greatest(of("n_lines"), F.lit(1))
     return {
         "mean_word_length": per_word("word_chars"),
         "symbol_ratio": per_word("n_symbols"),
         "exclamation_ratio": per_word("n_exclamations"),
         "stop_word_ratio": per_word("n_stop_words"),
-        "dup_line_ratio": per_line("n_dup_lines"),
+        "dup_line_char_ratio": F.when(of("n_lines") >= LEAST_LINES, of("dup_line_chars") / F.greatest(of("line_chars"), F.lit(1))).otherwise(0.0),
         "ellipsis_line_ratio": per_line("n_ellipsis_lines"),
         "bullet_line_ratio": per_line("n_bullet_lines"),
     }
 
 
-def judge(measured: DataFrame, rules: Sequence[Rule] = RULES, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
-    """Adds ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
-    metrics = _metrics()
+def _verdict(of: Callable[[str], Column], rules: Sequence[Rule], min_words: int, repeat_percent: int) -> tuple[Column, Column, Column]:
+    """(base failed, names of broken rules, kept) of counts that ``of`` looks up by name."""
+    metrics = _metrics(of)
 
     def broken(rule: Rule) -> Column:
         value, bad = metrics[rule.metric], F.lit(False)
@@ -126,9 +139,15 @@ def judge(measured: DataFrame, rules: Sequence[Rule] = RULES, min_words: int = M
             bad = bad | (value > rule.high)
         return F.when(bad, F.lit(rule.name))
 
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    base = (of("n_words") < min_words) | (100 * of("n_repeat_words") > repeat_percent * of("n_words"))
     failed = F.array_compact(F.array(*[broken(r) for r in rules])) if rules else F.array().cast("array<string>")
-    return measured.select("*", base.alias("base_failed"), F.array_join(failed, ",").alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept"))
+    return base, failed, ~base & (F.size(failed) == 0)
+
+
+def judge(measured: DataFrame, rules: Sequence[Rule] = RULES, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
+    """Adds ``base_failed``, ``failed_rules`` (names, in table order) and ``kept``."""
+    base, failed, kept = _verdict(F.col, rules, min_words, repeat_percent)
+    return measured.select("*", base.alias("base_failed"), F.array_join(failed, ",").alias("failed_rules"), kept.alias("kept"))
 
 
 def quality(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -137,9 +156,18 @@ def quality(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents that pass, with all their own columns unchanged."""
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return quality(packed, "_text", ["_row"], rules).filter("kept").select("_row.*")
+    """The documents that pass, with all their own columns unchanged.
+
+    The condition is one expression in which words, lines and counts are bound once; a filter over columns would be pushed
+    below the projection and repeat every count at each place that reads it.
+    """
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    def from_parts(p: Column) -> Column:
+        return bound(F.struct(*_counts(p["b"], p["w"], p["l"])), lambda m: _verdict(lambda n: m[n], rules, MIN_WORDS, REPEAT_PERCENT)[2])
+
+    return docs.filter(bound(F.struct(body.alias("b"), space_words(body).alias("w"), _lines(body).alias("l")), from_parts))
 
 
 _SQL_STOP = ", ".join(f"'{v}'" for v in sorted({v for w in STOP_WORDS for v in (w, w.capitalize())}))
@@ -148,7 +176,7 @@ _SQL_METRIC = {
     "symbol_ratio": "n_symbols / greatest(n_words, 1)",
     "exclamation_ratio": "n_exclamations / greatest(n_words, 1)",
     "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
-    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    "dup_line_char_ratio": f"CASE WHEN n_lines >= {LEAST_LINES} THEN dup_line_chars / greatest(line_chars, 1) ELSE 0 END",
     "ellipsis_line_ratio": "n_ellipsis_lines / greatest(n_lines, 1)",
     "bullet_line_ratio": "n_bullet_lines / greatest(n_lines, 1)",
 }
@@ -169,7 +197,9 @@ x AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]
 m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
-    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(length(array_to_string(l, '')) AS BIGINT) AS line_chars, CAST(length(array_to_string(l, '')) - length(array_to_string(list_distinct(l), '')) AS BIGINT) AS dup_line_chars,
+    CAST(coalesce(x.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(list_filter(w, lambda y: y IN ({_SQL_STOP}))) AS BIGINT) AS n_stop_words,
     CAST(len(regexp_extract_all(t, '!+')) AS BIGINT) AS n_exclamations,
     CAST(len(list_filter(l, lambda y: regexp_matches(y, '(\.\.\.|…)\s*$'))) AS BIGINT) AS n_ellipsis_lines,

@@ -36,6 +36,25 @@ def test_keep_good_returns_the_columns(nasty, nothing):
     assert quality.keep_good(nothing).count() == 0 and quality.quality(nothing).count() == 0
 
 
+def test_keep_good_agrees_with_quality(spark, nasty):
+    rng = np.random.default_rng(5)
+    words = "the of and to in house tree - * river ... ! walks".split()
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(1, 20))) for _ in range(rng.integers(1, 14))) for _ in range(60)]
+    df = nasty.select("doc_id", "text").unionAll(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    want = sorted(str(r["doc_id"]) for r in quality.quality(df).filter("kept").collect())
+    assert sorted(str(r["doc_id"]) for r in quality.keep_good(df).collect()) == want and len(want) > 3
+
+
+def test_repeated_lines_count_by_characters_from_six_lines_on(spark):
+    own = [f"The house number {k} of the street in the town is for the man with a {w} hat and to be seen by us" for k, w in enumerate("red blue green white black grey".split())]
+    texts = {1: [own[0], own[1], own[2], own[0]], 2: [*own, "Reply", "Reply", "Reply"], 3: [own[0], own[1], own[2]] + [own[3]] * 4}
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert (got[1]["n_dup_lines"], got[1]["failed_rules"]) == (1, "")
+    assert (got[2]["n_dup_lines"], got[2]["failed_rules"], got[2]["dup_line_chars"]) == (2, "", 10)
+    assert got[3]["failed_rules"] == "duplicate_lines"
+
+
 def test_own_rules(nasty):
     out = quality.quality(nasty, rules=[quality.Rule("short", "mean_word_length", None, 1.0)])
     assert {r["failed_rules"] for r in out.filter("n_words > 50").collect()} == {"short"}
