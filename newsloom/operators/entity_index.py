@@ -109,49 +109,72 @@ def named_in(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFram
     one = _bit_table(indexed.filter("n_words = 1").select(_slot(F.get("_w", F.lit(0))).alias("slot")))
     two = _bit_table(indexed.filter("n_words > 1").select(_slot(F.get("_w", F.lit(0)), F.get("_w", F.lit(1))).alias("slot")))
     lengths = sorted(r[0] for r in indexed.filter("n_words > 1").select("n_words").distinct().collect())
-    found = docs.select(key, _words(F.col(text)).alias("_words")).select(key, F.explode(_sequences(F.col("_words"), one, two, lengths)).alias("sequence"))
+    # The outer form: the inner one would work the sequences out once more to drop texts without any, which the join drops.
+    found = docs.select(key, _words(F.col(text)).alias("_words")).select(key, F.explode_outer(_sequences(F.col("_words"), one, two, lengths)).alias("sequence"))
     candidate = F.struct(*[F.col(c) for c in NAMES.fieldNames()])
     return found.join(indexed.drop("_w", "n_words"), "sequence").groupBy(key).agg(F.collect_list(candidate).alias("names"))
 
 
 def _pattern(name: Column, exact: Column) -> Column:
+    """The name as whole words.  It is looked for ahead first: most places end at its first letter, before the slower look behind."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat(F.when(exact, "").otherwise("(?iu)"), F.lit(f"(?<!{_WORD})"), quoted, F.lit(f"(?!{_WORD})"))
+    return F.concat(F.when(exact, "").otherwise("(?iu)"), F.lit("(?="), quoted, F.lit(f")(?<!{_WORD})"), quoted, F.lit(f"(?!{_WORD})"))
 
 
 def _located(text: Column, names: Column) -> Column:
     """The candidates that occur as whole words, with pattern and place (in characters) of the first occurrence, in dictionary order."""
 
-    def placed(c):
+    def split_at(c):
         pattern = _pattern(c["name"], c["kind"] == "symbol")
-        parts = F.split(text, pattern, 2)
+        return F.struct(c.alias("c"), pattern.alias("pattern"), F.split(text, pattern, 2).alias("parts"))
+
+    def placed(x):
+        c = x["c"]
         return F.struct(
-            c["entity_place"].alias("entity_place"), (c["kind"] == "symbol").alias("symbol"), c["place"].alias("place"), c["kind"].alias("kind"), c.alias("c"), pattern.alias("pattern"),
-            F.when(F.size(parts) > 1, F.char_length(F.get(parts, F.lit(0)))).alias("start"),
+            c["entity_place"].alias("entity_place"), (c["kind"] == "symbol").alias("symbol"), c["place"].alias("place"), c["kind"].alias("kind"), c.alias("c"), x["pattern"].alias("pattern"),
+            F.char_length(F.get(x["parts"], F.lit(0))).alias("start"),
         )
 
-    return F.array_sort(F.filter(F.transform(names, placed), lambda p: p["start"].isNotNull()))
+    return F.array_sort(F.transform(F.filter(F.transform(names, split_at), lambda x: F.size(x["parts"]) > 1), placed))
+
 
+def _sentences(text: Column) -> Column:
+    return F.split(text, r"(?U)(?<=[.!?])\s+")
 
-def _near(text: Column, pattern: Column, missing: Column) -> Column:
+
+def _near(sentences: Column, pattern: Column, missing: Column) -> Column:
     """The first sentence with the name, in lower case."""
-    sentences = F.split(text, r"(?U)(?<=[.!?])\s+")
     return F.lower(F.coalesce(F.get(F.filter(sentences, lambda s: F.rlike(s, pattern)), F.lit(0)), missing))
 
 
-def _hits(text: Column, host: Column, located: Column) -> Column:
-    """One hit per entity: its first name found, else its symbol; excluded if a phrase says so."""
-    subjects = F.filter(located, lambda p: p["kind"] != "excluded")
-    first = F.filter(subjects, lambda p, i: (i == 0) | (F.get(subjects, i - 1)["entity_place"] != p["entity_place"]))
-    phrases = F.filter(located, lambda p: p["kind"] == "excluded")
+def _subjects(located: Column, text: Column, sentences: Column) -> Column:
+    """The first name found of each entity, else its symbol, with the sentence around it where the rules ask for one."""
+    names = F.filter(located, lambda p: p["kind"] != "excluded")
+    bound = F.transform(F.array(names), lambda a: F.filter(a, lambda p, i: (i == 0) | (F.get(a, i - 1)["entity_place"] != p["entity_place"])))
+
+    def heard(p):
+        several = F.size(F.split(F.btrim(p["c"]["name"]), r"\s+")) > 1
+        missing = F.when(p["symbol"], "").otherwise(text)
+        around = F.when(p["symbol"] | (p["c"]["conditional"] & ~several), _near(sentences, p["pattern"], missing))
+        return F.struct(p.alias("p"), several.alias("several"), around.alias("around"))
+
+    return F.transform(F.get(bound, F.lit(0)), heard)
+
+
+def _hits(text: Column, host: Column, subjects: Column, phrases: Column) -> Column:
+    """One hit per subject, excluded if a phrase of its entity is in the text."""
 
-    def settled(p):
-        c = p["c"]
+    def judged(s):
+        c = s["p"]["c"]
         official = F.coalesce(F.exists(c["domains"], lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d))), F.lit(False))
-        named = ~c["conditional"] | official | (F.size(F.split(F.btrim(c["name"]), r"\s+")) > 1) | contains_any(_near(text, p["pattern"], text), fv.CREDIT_CONTEXT)
-        around = _near(text, p["pattern"], F.lit(""))
-        traded = F.contains(around, c["exchange"]) | contains_any(around, fv.TICKER_CONTEXT)
-        against = F.transform(F.filter(phrases, lambda x: x["entity_place"] == p["entity_place"]), lambda x: x["c"]["name"])
+        against = F.transform(F.filter(phrases, lambda x: x["entity_place"] == s["p"]["entity_place"]), lambda x: x["c"]["name"])
+        return F.struct(s.alias("s"), official.alias("official"), against.alias("against"))
+
+    def settled(j):
+        s, official, against = j["s"], j["official"], j["against"]
+        p, c = s["p"], s["p"]["c"]
+        named = ~c["conditional"] | official | s["several"] | contains_any(s["around"], fv.CREDIT_CONTEXT)
+        traded = F.contains(s["around"], c["exchange"]) | contains_any(s["around"], fv.TICKER_CONTEXT)
         sure = F.when(p["symbol"], traded).otherwise(named)
         length = F.char_length(c["name"])
         values = {
@@ -162,7 +185,7 @@ def _hits(text: Column, host: Column, located: Column) -> Column:
         }
         return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in ENTITY_HIT.fields])
 
-    return F.transform(first, settled)
+    return F.transform(F.transform(subjects, judged), settled)
 
 
 def suppress_inner_names(hits: Column) -> Column:
@@ -196,8 +219,12 @@ def with_entities(df: DataFrame, key: str, text: str, url: str, entities: DataFr
     joined = df.join(found, F.col(key) == F.col("_key"), "left")
     body = F.coalesce(F.col(text), F.lit(""))
     kind = T.ArrayType(T.StructType([*[f for f in ENTITY_HIT.fields if f.name != "status"], ENTITY_HIT["status"], T.StructField("suppressed_by", _S)]))
-    # Bound once in each step: the array is used in several places of the next expression.
-    located = joined.withColumn("_at", F.when(F.col("names").isNotNull(), _located(body, F.col("names"))))
-    hit = F.transform(F.array(F.col("_at")), lambda a: _hits(body, F.coalesce(ids.host(F.col(url)), F.lit("")), a))
-    settled = F.get(F.transform(hit, suppress_inner_names), F.lit(0))
-    return located.withColumn(out, F.coalesce(settled, F.array().cast(kind))).drop("_key", "names", "_at")
+    # Each step hands its arrays on as a lambda's variable: a column would be written out, and worked out again, wherever it is named.
+    read = F.struct(_located(body, F.col("names")).alias("at"), _sentences(body).alias("sentences"), F.coalesce(ids.host(F.col(url)), F.lit("")).alias("host"))
+    heard = F.transform(
+        F.array(read),
+        lambda x: F.struct(_subjects(x["at"], body, x["sentences"]).alias("subjects"), F.filter(x["at"], lambda p: p["kind"] == "excluded").alias("phrases"), x["host"].alias("host")),
+    )
+    hits = F.transform(F.transform(heard, lambda x: _hits(body, x["host"], x["subjects"], x["phrases"])), suppress_inner_names)
+    settled = F.when(F.col("names").isNotNull(), F.get(hits, F.lit(0)))
+    return joined.withColumn(out, F.coalesce(settled, F.array().cast(kind))).drop("_key", "names")

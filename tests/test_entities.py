@@ -81,3 +81,12 @@ def test_large_dictionary(spark, copies):
     rows = with_entities(docs, "id", "x", "u", dims).collect()
     assert all([h["canonical_id"] for h in r["entity_matches"]] == [str(7 if r["id"] % 3 == 0 else r["id"] * 331)] for r in rows) and len(rows) == copies
 
+
+
+def test_a_text_is_read_once_per_name(spark):
+    """However many names and phrases are found, no array of places is worked out again for each of them."""
+    many = [{"canonical_id": f"e{i}", "aliases": [f"Name{i}"], "excluded_contexts": ["zoo"] if i % 3 else [], "ambiguity_rules": ["ER07"] if i % 2 else []} for i in range(6)]
+    df = spark.createDataFrame([(1, " ".join(f"Name{i} lending." for i in range(6)) + " zoo", URL)], "id long, x string, u string")
+    out = with_entities(df, "id", "x", "u", many)
+    assert statuses([m.asDict() for m in out.collect()[0]["entity_matches"]]) == {f"e{i}": "excluded" if i % 3 else "resolved" for i in range(6)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(?<=[.!?])") == 1
