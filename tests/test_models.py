@@ -309,3 +309,14 @@ def test_terms_of_any_length(spark):
     docs = spark.createDataFrame([(1, "one two three four five six")], "id int, text string")
     terms = spark.createDataFrame([("two three four five six",), ("one",)], "term string")
     assert {r["term"] for r in rows(match_terms_by_join(docs, terms, "id", "text"))} == {"two three four five six", "one"}
+
+
+def test_partner_members_tell_every_pair(spark):
+    """The blocks and their articles give the same (cluster, partner) pairs as the list of pairs."""
+    rows = [(f"a{i}", f"r{i // 2}", "t" if i % 3 else "u", "v" if i % 4 == 1 else "", ["p", "q"] if i % 5 else ["q"]) for i in range(24)]
+    given = spark.createDataFrame(rows, "article_id string, root string, type string, vehicle string, parties array<string>")
+    profile, members = given.drop("root"), given.select("article_id", "root")
+    told = clusters.partner_members(profile, members).collect()
+    assert all(r["partners"] == len({y["article_id"] for y in told if (y["type"], y["party"]) == (r["type"], r["party"]) and y["root"] != r["root"] and (r["free"] or y["open"])}) for r in told)
+    got = {(x["root"], y["article_id"]) for x in told for y in told if (x["type"], x["party"]) == (y["type"], y["party"]) and x["root"] != y["root"] and (x["free"] or y["open"])}
+    assert got == {(r["root"], r["article_id"]) for r in clusters.ambiguous_partners(profile, members, members).collect()} and got
