@@ -311,3 +311,12 @@ def test_stamps(spark):
     df = strings(spark, ["2024-01-01T10:00:00Z", "2024-01-01T10:00:00", "nonsense", None])
     got = [r[0] for r in df.select(times.stamp(F.col("x"), F.lit("2024-01-02").cast("date"))).collect()]
     assert got == ["2024-01-01T10:00:00Z"] + ["2024-01-02T00:00:00+08:00"] * 3
+
+
+def test_placing_leaves_the_texts_behind(spark):
+    """No step of placing writes or shuffles a summary; its length still chooses the card."""
+    cards = _cards(spark, SPECS)
+    placed = events.place_cards(cards)
+    assert "summary" not in placed.columns
+    sizes = {r["id"]: r["n"] for r in cards.select("id", F.length(events.strip_absence(F.col("summary.en"), "en")).alias("n")).collect()}
+    assert {r["id"]: -r["rep_order"]["c"] for r in placed.collect()} == sizes
