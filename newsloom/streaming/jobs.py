@@ -32,6 +32,15 @@ def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: st
     return stream.sparkSession.read.schema(schema).parquet(run_to_end(out, folder))
 
 
+#: Buckets that many keys share the calls of their state in; a job's progress folder holds state by bucket, so it keeps this number.
+BUCKETS = 256
+
+
+def _bucketed(stream: DataFrame, key: str) -> DataFrame:
+    """The rows with their key as text and its ``bucket``."""
+    return stream.withColumn(key, F.col(key).cast("string")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
 def _timed(stream: DataFrame, *columns: str | Column) -> DataFrame:
     return stream.select(*columns, F.unix_micros("published").alias("t"), "published")
 
@@ -42,7 +51,7 @@ def new_versions_job(stream: DataFrame, folder: str, keep_days: int = fv.RETENTI
     ``stream``: id (long), entry_id, fingerprint, published.
     """
     schema = "id long, fingerprint string, t long, revision_of long"
-    return _keyed(_timed(stream, "id", "entry_id", "fingerprint"), "entry_id", VersionMemory(keep_days), schema, folder, delay_days)
+    return _keyed(_bucketed(_timed(stream, "id", "entry_id", "fingerprint"), "entry_id"), "bucket", VersionMemory(keep_days), schema, folder, delay_days)
 
 
 def rejection_memory_job(stream: DataFrame, folder: str, days: int = fv.REJECTED_MEMORY_DAYS, delay_days: int = fv.LOOKBACK_DAYS) -> DataFrame:
@@ -50,7 +59,7 @@ def rejection_memory_job(stream: DataFrame, folder: str, days: int = fv.REJECTED
 
     ``stream``: id (long), key, rejected, published.
     """
-    return _keyed(_timed(stream, "id", "key", "rejected"), "key", RejectionMemory(days), "id long", folder, delay_days)
+    return _keyed(_bucketed(_timed(stream, "id", "key", "rejected"), "key"), "bucket", RejectionMemory(days), "id long", folder, delay_days)
 
 
 def story_job(stream: DataFrame, folder: str, window: int = WINDOW, delay_days: int = fv.LOOKBACK_DAYS) -> DataFrame:

@@ -5,15 +5,20 @@ processing: batch by batch, and by (t, id) inside a batch.  Times are event time
 runs: a timer clears state once the watermark shows that no row can arrive any more that would need it, hence clearing never
 changes a result.  A row older than the watermark is dropped by Spark (the late-data rule).
 
-The rows of one key in one micro-batch are held together; the size of a batch (files per trigger) bounds them.
+Rejections and versions have as many keys as there are users or entries, and a state call per key costs more than its rows.  Their
+processors therefore serve a bucket of keys at a time (jobs.py): its memory is one packed table, read and written once per
+micro-batch and worked on by columns.  Whatever is forgotten is forgotten at its own time, not at its bucket's.
+
+The rows of one key, or bucket, in one micro-batch are held together; the size of a batch (files per trigger) bounds them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS_A_DAY = 86_400_000_000
@@ -23,15 +28,27 @@ def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(list(by), ignore_index=True)
 
 
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(states: Iterable[tuple], schema: pa.Schema) -> pa.Table:
+    """Packed tables of a state, one after the other."""
+    return pa.concat_tables([schema.empty_table(), *[pa.ipc.open_stream(bytes(blob)).read_all() for (blob,) in states]])
+
+
 class _Expiring(StatefulProcessor):
-    """A processor with one timer per key, at the time when its oldest state has done its work."""
+    """A processor with one timer per key or bucket, at the time when its oldest state has done its work."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = self.open(handle)
 
     def wake_after(self, micros: int | None) -> None:
-        """The key's only timer: the first millisecond after ``micros``."""
+        """The only timer: the first millisecond after ``micros``."""
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if micros is not None:
@@ -42,40 +59,67 @@ class _Expiring(StatefulProcessor):
 
 
 class RejectionMemory(_Expiring):
-    """Rows (t, id, rejected) of one entry id to the ids that pass.
+    """Rows (key, t, id, rejected) of some entry ids to the ids that pass.
 
-    An entry is held back if its id was turned down at most ``days`` days before the entry's own day; the last of these days
+    An entry is held back if its key was turned down at most ``days`` days before the entry's own day; the last of these days
     still counts.  Held entries do not prolong the memory.
     """
 
+    SCHEMA = pa.schema([("key", pa.string()), ("day", pa.int64())])
+
     def __init__(self, days: int) -> None:
         self.days = days
 
     def open(self, handle: StatefulProcessorHandle):
-        return handle.getValueState("rejected", "day long")
+        return handle.getValueState("rejected", "days binary")
+
+    def _keep(self, memory: dict) -> None:
+        """Remember these days and wake when the first of them has done its work."""
+        if not memory:
+            self.state.clear()
+            return
+        self.state.update((_packed(pa.table([list(memory), list(memory.values())], schema=self.SCHEMA)),))
+        self.wake_after((min(memory.values()) + self.days + 1) * MICROS_A_DAY - 1)
+
+    def _memory(self) -> dict:
+        known = _unpacked([self.state.get()] if self.state.exists() else [], self.SCHEMA)
+        return dict(zip(known["key"].to_pylist(), known["day"].to_pylist(), strict=True))
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _in_order(rows, "t", "id")
+        batch = pd.concat(list(rows), ignore_index=True)
+        code, keys = pd.factorize(batch["key"], use_na_sentinel=False)
+        batch = batch.assign(code=code).sort_values(["code", "t", "id"], ignore_index=True)
         day = (batch["t"] // MICROS_A_DAY).to_numpy()
-        turned = np.flatnonzero(batch["rejected"].fillna(False).to_numpy(dtype=bool))
-        memory = self.state.get()[0] if self.state.exists() else None
-        passed, at = np.zeros(len(batch), bool), 0
-        while at < len(batch):
+        rejected = batch["rejected"].fillna(False).to_numpy(dtype=bool)
+        bounds = np.searchsorted(batch["code"].to_numpy(), np.arange(len(keys) + 1))
+        memory, passed = self._memory(), np.zeros(len(batch), bool)
+        for n, own in enumerate(keys):
+            own = None if pd.isna(own) else own
+            a, b = bounds[n], bounds[n + 1]
+            last = self._pass(memory.get(own), day[a:b], rejected[a:b], passed[a:b])
+            if last is not None:
+                memory[own] = last
+        if memory:
+            self._keep(memory)
+        yield pd.DataFrame({"id": batch["id"][passed]})
+
+    def _pass(self, memory: int | None, day: np.ndarray, rejected: np.ndarray, passed: np.ndarray) -> int | None:
+        """Mark the rows of one key that pass, and return the day it was last turned down."""
+        turned, at = np.flatnonzero(rejected), 0
+        while at < len(day):
             if memory is not None:
                 at = max(at, int(np.searchsorted(day, memory + self.days, "right")))
             following = turned[np.searchsorted(turned, at) :]
-            stop = int(following[0]) if len(following) else len(batch)
+            stop = int(following[0]) if len(following) else len(day)
             passed[at:stop] = True
-            if stop < len(batch):
+            if stop < len(day):
                 memory = int(day[stop])
             at = stop + 1
-        if memory is not None:
-            self.state.update((memory,))
-            self.wake_after((memory + self.days + 1) * MICROS_A_DAY - 1)
-        yield pd.DataFrame({"id": batch["id"][passed]})
+        return memory
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self._keep({k: day for k, day in self._memory().items() if (day + self.days + 1) * MICROS_A_DAY - 1 >= passed})
         yield pd.DataFrame({"id": pd.Series([], dtype="int64")})
 
 
@@ -129,36 +173,45 @@ class StoryAnchors(_Expiring):
 
 
 class VersionMemory(_Expiring):
-    """Rows (t, id, fingerprint) of one entry to its unseen versions: id, fingerprint, t, revision_of.
+    """Rows (entry_id, t, id, fingerprint) of some entries to their unseen versions: id, fingerprint, t, revision_of.
 
-    Of equal versions in a batch the newest stays (ties: the smallest id).  ``revision_of`` is the newest version of earlier
-    batches (ties: the largest id).  Versions are forgotten ``days`` days after they were observed.
+    Of equal versions in a batch the newest stays (ties: the smallest id).  ``revision_of`` is the entry's newest version of
+    earlier batches (ties: the largest id).  Versions are forgotten ``days`` days after they were observed.
     """
 
+    SCHEMA = pa.schema([("entry_id", pa.string()), ("fingerprint", pa.string()), ("t", pa.int64()), ("id", pa.int64())])
+
     def __init__(self, days: int) -> None:
         self.days = days
 
     def open(self, handle: StatefulProcessorHandle):
-        return handle.getListState("versions", "t long, id long, fingerprint string")
+        return handle.getListState("versions", "rows binary")
+
+    def _known(self) -> pd.DataFrame:
+        return _unpacked(self.state.get(), self.SCHEMA).to_pandas()
+
+    def _as_known(self, rows: pd.DataFrame) -> pa.Table:
+        return pa.Table.from_pandas(rows[self.SCHEMA.names], self.SCHEMA, preserve_index=False)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"], ascending=[False, True], ignore_index=True)
-        batch = batch[~batch["fingerprint"].duplicated()]
-        known = [tuple(v) for v in self.state.get()]
-        new = batch[~batch["fingerprint"].isin([v[2] for v in known])].sort_values(["t", "id"], ignore_index=True)
-        latest = max(v[:2] for v in known)[1] if known else None
-        added = [(int(t), int(i), f) for t, i, f in zip(new["t"], new["id"], new["fingerprint"], strict=True)]
-        if added:
-            self.state.appendList(added)
-        self.wake_after(min(v[0] for v in [*known, *added]) + self.days * MICROS_A_DAY)
-        yield pd.DataFrame({"id": new["id"], "fingerprint": new["fingerprint"], "t": new["t"], "revision_of": pd.Series([latest] * len(new), dtype="Int64")})
+        batch = self._as_known(pd.concat(list(rows), ignore_index=True)).to_pandas().sort_values(["t", "id"], ascending=[False, True])
+        batch = batch[~batch.duplicated(["entry_id", "fingerprint"])]
+        known = self._known()
+        latest = known.sort_values(["t", "id"]).drop_duplicates("entry_id", keep="last")[["entry_id", "id"]].astype({"id": "Int64"})
+        new = batch.merge(known[["entry_id", "fingerprint"]].assign(seen=1), "left", ["entry_id", "fingerprint"])
+        new = new[new["seen"].isna()].merge(latest.rename(columns={"id": "revision_of"}), "left", "entry_id").sort_values(["t", "id"], ignore_index=True)
+        if len(new):
+            self.state.appendValue((_packed(self._as_known(new)),))
+        self.wake_after(min([*known["t"], *new["t"]]) + self.days * MICROS_A_DAY)
+        yield new[["id", "fingerprint", "t", "revision_of"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        left = [tuple(v) for v in self.state.get() if v[0] + self.days * MICROS_A_DAY >= passed]
-        if left:
-            self.state.put(left)
-            self.wake_after(min(v[0] for v in left) + self.days * MICROS_A_DAY)
+        known = self._known()
+        left = known[known["t"] + self.days * MICROS_A_DAY >= passed]
+        if len(left):
+            self.state.put([(_packed(self._as_known(left)),)])
+            self.wake_after(int(left["t"].min()) + self.days * MICROS_A_DAY)
         else:
             self.state.clear()
         yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "fingerprint": pd.Series([], dtype="str"), "t": pd.Series([], dtype="int64"), "revision_of": pd.Series([], dtype="Int64")})
