@@ -27,6 +27,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -70,6 +71,8 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        # Offsets are not asked for.
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.vocabulary_size = self.tokenizer.get_vocab_size()
         self._forget()
 
@@ -84,9 +87,10 @@ class _Encoder:
         known = self._place
         new = [c for c in chunks if c not in known]
         if new:
-            made = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            # Lists of ids are read once and given back at once: they are most of what a new chunk costs beside the tokenizer.
+            made = [array("I", e.ids) for e in self._batch(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(lengths.sum()))
+            flat = np.frombuffer(b"".join(made), np.uint32)
             used = self._ends[-1]
             if used + len(flat) > len(self._ids):
                 self._ids = np.concatenate((self._ids[:used], np.empty(max(len(flat), used), np.uint32)))
@@ -104,7 +108,9 @@ class _Encoder:
         begin, length = self._ends[place], self._ends[place + 1] - self._ends[place]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self._ids[np.arange(total) + np.repeat(begin - (ends - length), length)]
+        place = np.repeat(begin - (ends - length), length)
+        place += np.arange(total)
+        ids = self._ids[place]
         before = np.concatenate(([0], ends))
         return ids, np.diff(before[np.concatenate(([0], np.cumsum(per_text)))])
 
