@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import suffix_dedup
@@ -63,3 +65,17 @@ def test_against_all_windows(spark, monkeypatch, nothing, sizes):
 def test_no_rows(nothing):
     assert suffix_dedup.removal_digests(nothing).count() == 0
     assert suffix_dedup.remove_repeats(nothing).schema == nothing.schema
+
+
+def test_segments_travel_compressed():
+    """The rows between the steps are what fills the disk: segments and their tags are sent in under half their size."""
+    rng = random.Random(5)
+    common = ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(common) for _ in range(400)) for _ in range(40)]
+    docs = pa.table({"tag": pa.array(range(80), pa.int64()), "id": pa.array(range(80), pa.int64()), "text": texts * 2})
+    tested = pa.Table.from_batches(suffix_dedup._anchors(1)(iter(docs.select(["tag", "text"]).to_batches())))
+    sent = suffix_dedup._cut_out(1)((pa.scalar(0),), suffix_dedup._shared(1)(tested), docs)
+    blob = sent.filter(pa.array(np.array(sent["kind"]) == 1))["blob"]
+    arrays = suffix_dedup.unpack_arrays(blob)
+    assert len(arrays["text"]) > 50_000
+    assert sum(len(b.as_buffer()) for b in blob) < sum(v.nbytes for v in arrays.values()) / 2
